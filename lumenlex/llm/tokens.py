@@ -79,8 +79,9 @@ class _Cache(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word[-1:] in STOPS and word[-2:-1].isalpha():  # a letter and a full stop never share a token
-            return self[word[:-1]] + self.bpe.stops[word[-1]]
-        ids = self.bpe.raw(" " + word)
+            ids = self[word[:-1]] + self.bpe.stops[word[-1]]
+        else:
+            ids = self.bpe.raw(" " + word)
         if len(self) < self.bpe.cached_words and len(word) < 64:
             self[word] = ids
         return ids
