@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlex.llm import chat, langid, linededup, packing
+from lumenlex.llm import chat, langid, linededup, mixing, packing
 
-QUERIES = {"op1_line_dedup": linededup.query, "op3_language_id": langid.query, "op7_packing": packing.query, "op8_chat_format": chat.query}
+QUERIES = {"op1_line_dedup": linededup.query, "op3_language_id": langid.query, "op5_mixing": mixing.query, "op7_packing": packing.query, "op8_chat_format": chat.query}
 ORACLES = {"op1_line_dedup": linededup.ORACLE, "op8_chat_format": chat.ORACLE}
