@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlex.llm import chat, langid, linededup, mixing, neardup, packing
+from lumenlex.llm import chat, exactknn, langid, linededup, mixing, neardup, packing
 
-QUERIES = {"op1_line_dedup": linededup.query, "op2_near_dedup": neardup.query, "op3_language_id": langid.query, "op5_mixing": mixing.query, "op7_packing": packing.query, "op8_chat_format": chat.query}
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_near_dedup": neardup.ORACLE, "op8_chat_format": chat.ORACLE}
+QUERIES = {"op1_line_dedup": linededup.query, "op2_near_dedup": neardup.query, "op3_language_id": langid.query, "op4_exact_topk": exactknn.query, "op5_mixing": mixing.query, "op7_packing": packing.query, "op8_chat_format": chat.query}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_near_dedup": neardup.ORACLE, "op4_exact_topk": exactknn.ORACLE, "op8_chat_format": chat.ORACLE}
