@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lumenlex.plans import retrieval
+
+QUERIES: dict = retrieval.QUERIES
+ORACLES: dict = retrieval.ORACLES
