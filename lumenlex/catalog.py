@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenlex.plans import retrieval
+from lumenlex.plans import relational, retrieval
 
-QUERIES: dict = retrieval.QUERIES
-ORACLES: dict = retrieval.ORACLES
+QUERIES: dict = relational.QUERIES | retrieval.QUERIES
+ORACLES: dict = relational.ORACLES | retrieval.ORACLES
