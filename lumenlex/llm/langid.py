@@ -63,11 +63,11 @@ def counted(sample: DataFrame) -> DataFrame:
 class Model:
     """Rows of log frequencies, centred over the languages; a word or n-gram maps to its row."""
 
-    def __init__(self, langs: list[str], table: dict[str, dict[str, int]]):
-        """table: gram -> lang -> count."""
-        self.langs, self.row = langs, {gram: i for i, gram in enumerate(table)}
-        counts = np.array([[of.get(lang, 0) for lang in langs] for of in table.values()], float).reshape(len(table), len(langs))
-        kind = np.array([int(gram[0]) if gram[1:2] == ":" else 0 for gram in table], int)
+    def __init__(self, langs: list[str], known: list[str], counts: np.ndarray):
+        """known: words and n-grams; counts: a row for each, a column for each of langs."""
+        self.langs, self.row = langs, {gram: i for i, gram in enumerate(known)}
+        counts = counts.reshape(len(known), len(langs)).astype(float)
+        kind = np.array([int(gram[0]) if gram[1:2] == ":" else 0 for gram in known], int)
         self.weights = np.zeros_like(counts)
         for k in range(LONGEST + 1):
             rows = kind == k
@@ -112,15 +112,18 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_
     # Picked by id first, so that no text travels that is not in the sample.
     picked = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     sample = usable.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text")
-    by_gram = counted(sample).groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    # Without a prefix: words. One lang has one row for each gram, so the maps are as long as the list of languages.
-    is_gram = F.substring("gram", 2, 1) == ":"
-    kept = cut(by_gram)
-    table: dict[str, dict[str, int]] = {}
-    for part, most in ((kept.where(~is_gram), max_words), (kept.where(is_gram), max_grams)):
-        for r in part.orderBy(F.desc("total"), "gram").limit(most).collect():
-            table[r["gram"]] = r["by_lang"]
-    return Model(sorted({lang for of in table.values() for lang in of}), table)
+    by_lang = cut(counted(sample))
+    langs = [r["lang"] for r in by_lang.select("lang").distinct().orderBy("lang").collect()]
+    # Without a prefix: words. A gram has a row for each language it occurs in, so the arrays are as long as langs.
+    columns = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]) if langs else F.array().cast("array<bigint>")
+    by_gram = by_lang.groupBy("gram").agg(F.sum("n").alias("total"), columns.alias("counts"))
+    known, counts = [], []
+    for words, most in ((True, max_words), (False, max_grams)):
+        part = by_gram.where((F.substring("gram", 2, 1) != ":") == F.lit(words)).orderBy(F.desc("total"), "gram").limit(most)
+        table = part.select("gram", "counts").toArrow()
+        known += table.column("gram").to_pylist()
+        counts.append(table.column("counts").combine_chunks().flatten().to_numpy())
+    return Model(langs, known, np.concatenate(counts))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
