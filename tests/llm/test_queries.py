@@ -1,0 +1,57 @@
+"""The registered queries and the pipeline on the smallest tables, against their SQL where there is some."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from lumenlex.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(tuple(r[i] for i in order) for r in found)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    got = df.collect()
+    assert got
+    if name in catalog.ORACLES:
+        db = duckdb.connect()
+        for t in ("documents", "embeddings", "conversations"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = db.execute(catalog.ORACLES[name])
+        columns = [d[0] for d in want.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert rows(df.columns, got) == rows(columns, want.fetchall())
+
+
+def test_pipeline(spark, docs_of):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert out.count() > 0
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < -1")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_nothing_else_imports_the_subpackage():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for folder, _, files in os.walk(os.path.join(root, "lumenlex")):
+        if os.path.basename(folder) != "llm":
+            for f in (f for f in files if f.endswith(".py")):
+                assert "lumenlex.llm" not in open(os.path.join(folder, f)).read(), f
