@@ -1,16 +1,18 @@
 """MinHash near-dedup with odd sketches.
 
 A document is the set of its distinct word shingles. Equal sets collapse to one node first, the smallest doc_id among
-them. A node has MinHash samples, hashed in bands; the samples are also folded into a parity bitmap, the odd sketch,
-whose XOR with another's has few set bits if the sets are much alike. Candidates come from the bands: each member of
-a bucket meets the bucket's smallest node, not every other member. Those whose sketches rule out the wanted
-similarity go, the rest is confirmed on the full sets. Members of a bucket that then are still in different
-components are compared in blocks, sketch against sketch, inside a task; first the likeliest few pairs for a node and
-a component are confirmed, then whatever pairs are left, so no link between members of a bucket is lost and no bucket
-emits all its pairs.
+them. A node has MinHash samples, hashed in bands, and an odd sketch: the samples of a one-permutation MinHash (the
+least hash in each of ``2 ** BIN_BITS`` ranges) folded into a parity bitmap. The set bits of two sketches' XOR estimate how
+many samples differ, and so the similarity, to within a few hundredths where it is high.
 
-With 32 bands of 5 samples a pair of similarity 0.8 shares no bucket in 3 of a million cases; the sketch bound lies
-six standard deviations above the count expected at 0.8.
+Candidates come from the bands: each member of a bucket meets the bucket's smallest node, not every other member.
+Those whose sketches rule out the wanted similarity go, the rest is confirmed on the full sets. Members of a bucket
+that then are still in different components are compared in blocks, sketch against sketch, inside a task; first the
+few likeliest partners of the nodes outside the block's largest component are confirmed, then whatever pairs are
+left, so no link between members of a bucket is lost and no bucket emits all its pairs.
+
+With 32 bands of 5 samples a pair of similarity 0.8 shares no bucket in 3 of a million cases. A sketch rules a pair
+out if the estimate lies 4.5 standard deviations below the wanted similarity, which is as rare.
 
 Defined results: a text of fewer words than a shingle has is one shingle; one without words, or NULL, has none and is
 linked with nothing. Rows that share a doc_id are one document. A row with NULL doc_id takes no part: component_id is
@@ -19,20 +21,19 @@ NULL and it is kept. Other columns are not looked at and may bear any name.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm.components import components
 from lumenlex.shared import cut
 
-WORDS, SIMILARITY, BANDS, ROWS, SKETCH_BITS, SEED = 5, 0.8, 32, 5, 1024, 7
-BLOCK, FIRST_TRIES, CACHED_WORDS = 512, 4, 200_000
+WORDS, SIMILARITY, BANDS, ROWS, BIN_BITS, SKETCH_BITS, SEED = 5, 0.8, 32, 5, 12, 2048, 7
+BLOCK, FIRST_TRIES, DEVIATIONS, CACHED_WORDS = 512, 3, 4.5, 200_000
 _U64 = np.uint64
 
 
@@ -67,41 +68,55 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 class Signer:
-    """Set hash, bands and odd sketch of a set of shingles."""
+    """Bands, odd sketch and number of folded samples of a sorted set of shingles."""
 
     def __init__(self, bands: int, rows: int, bits: int, seed: int):
         random = np.random.default_rng(seed)
         k = bands * rows
-        self.bands, self.rows, self.bits = bands, rows, bits
+        self.rows, self.bits = rows, bits
         self.a = (random.integers(0, 1 << 32, k, np.uint32) | np.uint32(1))[:, None]
         self.b = random.integers(0, 1 << 32, k, np.uint32)[:, None]
-        self.slot = random.integers(0, 1 << 62, k, _U64)
         self.band_slot = random.integers(0, 1 << 62, bands, _U64)
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         x = (s ^ (s >> _U64(32))).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for i in range(0, len(x), 2048):
             np.minimum(low, (self.a * x[i : i + 2048] + self.b).min(1), out=low)
-        wide = low.astype(_U64)
-        keys = self.band_slot.copy()
+        wide, keys = low.astype(_U64), self.band_slot.copy()
         for i in range(self.rows):
             keys = _mix(keys + wide[i :: self.rows])
-        bit = (_mix(wide + self.slot) % _U64(self.bits)).astype(np.int64)
-        parity = (np.bincount(bit, minlength=self.bits) & 1).astype(np.uint8)
-        return keys.view(np.int64), np.packbits(parity).view(np.int64)
+        # s is sorted, so the first hash of each range of top bits is the least one in it.
+        bins = s >> _U64(64 - BIN_BITS)
+        least = s[np.r_[True, bins[1:] != bins[:-1]]]
+        parity = (np.bincount((_mix(least) % _U64(self.bits)).astype(np.int64), minlength=self.bits) & 1).astype(np.uint8)
+        return keys.view(np.int64), np.packbits(parity).view(np.int64), len(least)
+
+
+def least_common(folded, shingles, similarity: float, bits: int, sqrt, exp):
+    """How many samples two sets must be estimated to share at least, from the sums of their samples and their sizes.
+
+    Sets of the wanted similarity have a union of a known size; similarity times the samples of that union is what
+    they share on average. DEVIATIONS standard deviations of the sampling and of the parity bits are taken off.
+    """
+    union, bins = shingles / (1 + similarity), float(1 << BIN_BITS)
+    empty = exp(-union / bins)
+    samples = folded / 2 * (1 - empty) / (1 - exp(-shingles / 2 / bins))  # as full as these sets' own ranges are
+    differ = folded - 2 * similarity * samples
+    differ = (differ + abs_(differ)) / 2 + 1
+    kept = exp(-4 * differ / bits)
+    parity = (bits / 4 * (1 - kept) - differ * kept) / kept
+    filled = bins * (empty - (1 + union / bins) * empty * empty)  # variance of the number of ranges that hold a hash
+    sampling = similarity * (1 - similarity) * samples * (1.02 - (1 - empty) * bins / union) + similarity**2 * filled / 4
+    return similarity * samples - DEVIATIONS * sqrt(sampling + parity / 4) - 1
 
 
-def sketch_bound(similarity: float, samples: int, bits: int, deviations: float = 6.0) -> int:
-    """The most bits that may differ between sketches of sets at least so similar, bar ``deviations`` deviations."""
-    differ = samples * (1 - similarity)
-    slope = math.exp(-4 * differ / bits)
-    spread = math.sqrt(samples * similarity * (1 - similarity) * (2 * slope) ** 2 + bits / 4 * (1 - math.exp(-8 * differ / bits)))
-    return math.ceil(bits / 2 * (1 - slope) + deviations * spread)
+def abs_(x):
+    return F.abs(x) if isinstance(x, Column) else np.abs(x)
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, bits: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b, bands, sketch; the last three NULL for a document without words."""
+    """doc_id, n_shingles, set_a, set_b, bands, sketch, folded; the last four NULL for a document without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows, bits, seed)
@@ -110,17 +125,16 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, bits: int, se
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 s = shingles(text.as_py(), words)
                 if not len(s):
-                    out.append((doc_id, 0, doc_id, None, None, None))
+                    out.append((doc_id, 0, doc_id, None, None, None, None))
                     continue
                 both = xxhash.xxh3_128_digest(s.tobytes())
-                keys, sketch = signer.sign(s)
-                out.append((doc_id, len(s), *np.frombuffer(both, np.int64).tolist(), keys, sketch))
+                out.append((doc_id, len(s), *np.frombuffer(both, np.int64).tolist(), *signer.sign(s)))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+                names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "folded"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, folded int")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -136,11 +150,14 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, set array<long>")
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, bound: int) -> DataFrame:
-    """The pairs (u, v) whose odd sketches differ in at most bound bits."""
-    both = pairs.join(sketches.toDF("u", "su"), "u").join(sketches.toDF("v", "sv"), "v")
-    differ = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
-    return both.where(differ <= bound).select("u", "v")
+def alike(pairs: DataFrame, sketches: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """The pairs (u, v) whose odd sketches do not rule out the similarity. sketches: node, sketch, folded, n_shingles."""
+    both = pairs.join(sketches.toDF("u", "su", "cu", "hu"), "u").join(sketches.toDF("v", "sv", "cv", "hv"), "v")
+    xor = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    left = 1 - 2 * xor / bits
+    common = (F.col("cu") + F.col("cv") + bits / 2 * F.log(left)) / 2
+    needed = least_common(F.col("cu") + F.col("cv"), F.col("hu") + F.col("hv"), similarity, bits, F.sqrt, F.exp)
+    return both.where((left > 0) & (common >= needed)).select("u", "v")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,49 +168,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def cross_pairs(members: DataFrame, bound: int, tries: int | None) -> DataFrame:
-    """Pairs of a bucket's members in different components whose sketches are near.
+def cross_pairs(members: DataFrame, similarity: float, bits: int, tries: int | None) -> DataFrame:
+    """Pairs of a bucket's members in different components that the sketches do not rule out.
 
-    members: band, n (the bucket's size), node, component, sketch. Members are dealt into blocks and each pair of
-    blocks is compared in one task, at most about two blocks of sketches at a time. tries: the number of nearest
-    partners for a node in each other component of the block; None for all.
+    members: band, n (the bucket's size), node, component, bands, sketch, folded, n_shingles. Members are dealt into
+    blocks and each pair of blocks is compared in one task, about two blocks of sketches at a time. A pair that shares
+    several buckets comes from the first of them alone. tries: only the likeliest
+    partners of each node outside the largest component; None: all.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(SEED), "node"), blocks).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sketch")
+    keyed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "bands", "sketch", "folded", "n_shingles")
 
     def run(group: pa.Table) -> pa.Table:
-        node, component, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
+        node, component, own, folded, size = (group.column(c).to_numpy() for c in ("node", "component", "own", "folded", "n_shingles"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch = np.array(group.column("sketch").to_pylist(), np.int64).view(_U64)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[tuple[int, int]] = []
-        for x in left:
-            y = right[(component[right] != component[x]) & ((node[right] > node[x]) if i == j else True)]
-            differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1)
-            near = np.flatnonzero(differ <= bound)
-            y, differ = y[near], differ[near]
-            if tries is not None and len(y) > tries:
-                order = np.lexsort((node[y], differ, component[y]))
-                y = y[order]
-                start = np.flatnonzero(np.r_[True, component[y][1:] != component[y][:-1]])
-                rank = np.arange(len(y)) - np.repeat(start, np.diff(np.r_[start, len(y)]))
-                y = y[rank < tries]
-            found += [(int(min(node[x], node[k])), int(max(node[x], node[k]))) for k in y]
-        return pa.table({"v": pa.array([f[0] for f in found], pa.int64()), "u": pa.array([f[1] for f in found], pa.int64())}).select(["u", "v"])
+        sketch, bands = np.array(group.column("sketch").to_pylist(), np.int64).view(_U64), np.array(group.column("bands").to_pylist(), np.int64)
+        this = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
+        names, sizes = np.unique(component, return_counts=True)
+        asking = np.flatnonzero(component != names[sizes.argmax()])  # each pair of components has one outside the largest
+        found: set[tuple[int, int]] = set()
+        for x in asking:
+            y = np.flatnonzero((component != component[x]) & (own == (j if own[x] == i else i)))
+            y = y[~(bands[y, :this] == bands[x, :this]).any(1)]
+            left = 1 - 2 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) / bits
+            common = (folded[y] + folded[x] + bits / 2 * np.log(np.maximum(left, 1e-12))) / 2
+            needed = least_common(folded[y] + folded[x], size[y] + size[x], similarity, bits, np.sqrt, np.exp)
+            near = np.flatnonzero((left > 0) & (common >= needed))
+            if tries is not None and len(near) > tries:
+                near = near[np.lexsort((node[y[near]], needed[near] - common[near]))[:tries]]
+            found.update((int(max(node[x], node[k])), int(min(node[x], node[k]))) for k in y[near])
+        pairs = sorted(found)
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
     return keyed.groupBy("band", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = SEED) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    percent, bound = round(100 * similarity), sketch_bound(similarity, bands * rows, bits)
+    percent = round(100 * similarity)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(slim, words, bands, rows, bits, seed))
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = cut(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    sketches = nodes.select("node", "sketch")
+    nodes = cut(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"), F.first("n_shingles").alias("n_shingles")))
+    sketches = nodes.select("node", "sketch", "folded", "n_shingles")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = cut(banded.join(buckets, "band"))  # only members that are not alone
@@ -201,14 +220,14 @@ def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     wanted = held.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(shingle_sets(slim.join(wanted, "doc_id", "left_semi"), words))
     stars = held.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    links = cut(confirmed(alike(stars, sketches, bound), sets, percent))
+    links = cut(confirmed(alike(stars, sketches, similarity, bits), sets, percent))
     found = cut(components(links))
     tested = stars
     for tries in (FIRST_TRIES, None):
         named = held.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
-        members = named.join(open_, "band", "left_semi").join(sketches, "node").select("band", "n", "node", "component", "sketch")
-        pairs = cut(cross_pairs(members, bound, tries).join(tested, ["u", "v"], "left_anti"))
+        members = named.join(open_, "band", "left_semi").join(nodes.select("node", "bands", "sketch", "folded", "n_shingles"), "node").select("band", "n", "node", "component", "bands", "sketch", "folded", "n_shingles")
+        pairs = cut(cross_pairs(members, similarity, bits, tries).join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             if tries is None:
                 break
