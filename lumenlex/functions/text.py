@@ -21,15 +21,21 @@ STOPWORDS = (
     "other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
-STOP_PATTERN = "(?<![a-z0-9_])(" + "|".join(STOPWORDS) + ")(?![a-z0-9_])"
-#: For engines whose word boundary is ASCII.
+#: The same removal as a pattern, for SQL engines whose word boundary is ASCII.
 STOP_PATTERN_ASCII = r"\b(" + "|".join(STOPWORDS) + r")\b"
-TERM_PATTERN = "[a-z0-9]+"
+WORD_PATTERN, TERM_PATTERN = "[a-z0-9_]+", "[a-z0-9]+"
 
 
 def terms(text: Column) -> Column:
-    """The array of index terms of text, in order, repeats kept; NULL text gives NULL."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), STOP_PATTERN, " "), F.lit(TERM_PATTERN), F.lit(0))
+    """The array of index terms of text, in order, repeats kept; NULL text gives NULL.
+
+    A stop word stands alone exactly if it is a whole run of ``[a-z0-9_]``, so runs are extracted, looked up, and split
+    at underscores where there are any; no alternation of all stop words is tried at every character.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+    kept = F.filter(runs, lambda w: ~w.isin(*STOPWORDS))
+    parts = F.filter(F.flatten(F.transform(kept, lambda w: F.split(w, "_"))), lambda w: w != "")
+    return F.when(F.contains(text, F.lit("_")), parts).otherwise(kept)
 
 
 def terms_sql(text: str) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lumenlex.functions import bm25, text
 from lumenlex.functions.porter2 import stem_terms
 from lumenlex.operators.dense import dense_ids
+from lumenlex.shared import cut
 
 BLOCK_SIZE = 128
 TABLES = ("docs", "postings", "terms", "blocks", "doc_len", "stats")
@@ -53,10 +54,14 @@ def map_ids(raw_ids: DataFrame, column: str) -> DataFrame:
     return dense_ids(raw_ids.select(F.col(column).alias("raw_id")), F.col("raw_id"), name="mapped_id")
 
 
+def listed(docs: DataFrame) -> DataFrame:
+    """raw_id, mapped_id, terms of docs(raw_id, text): texts are tokenized once, where they arrive after the sort."""
+    return dense_ids(docs.select("raw_id", "text"), F.col("raw_id"), name="mapped_id", then=lambda d: d.select("raw_id", text.terms(F.col("text")).alias("terms")))
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
-    """mapped_id, len, term: one row for each token; documents without tokens vanish. docs: mapped_id, text."""
-    listed = docs.select("mapped_id", text.terms(F.col("text")).alias("_terms"))
-    return listed.select("mapped_id", F.size("_terms").cast("long").alias("len"), F.explode("_terms").alias("term"))
+    """mapped_id, len, term: one row for each token; documents without tokens vanish. docs: mapped_id, terms."""
+    return docs.select("mapped_id", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
 
 
 def count_postings(tokens: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def count_postings(tokens: DataFrame) -> DataFrame:
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """mapped_id, len of documents with tokens; no token is exploded for it."""
-    return docs.select("mapped_id", F.size(text.terms(F.col("text"))).cast("long").alias("len")).where("len > 0")
+    return docs.select("mapped_id", F.size("terms").cast("long").alias("len")).where("len > 0")
 
 
 def corpus_stats(doc_len: DataFrame) -> DataFrame:
@@ -78,14 +83,13 @@ def corpus_stats(doc_len: DataFrame) -> DataFrame:
     )
 
 
-def block_bounds(postings: DataFrame, stats: DataFrame, k1: float = bm25.K1, b: float = bm25.B, block_size: int = BLOCK_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(blocks, terms) of postings."""
+def block_bounds(numbered: DataFrame, stats: DataFrame, k1: float = bm25.K1, b: float = bm25.B, block_size: int = BLOCK_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(blocks, terms) of postings that are numbered within their term as _no."""
     row = stats.first()
-    numbered = dense_ids(postings, F.col("mapped_id"), within=("term",), name="_no")
     part = bm25.saturation(F.col("tf"), F.col("len"), F.lit(row["avgdl"]), k1, b)
-    runs = numbered.groupBy("term", F.floor(F.col("_no") / block_size).cast("long").alias("block_no")).agg(
+    runs = cut(numbered.groupBy("term", F.floor(F.col("_no") / block_size).cast("long").alias("block_no")).agg(
         F.min("mapped_id").alias("start_doc"), F.max("mapped_id").alias("end_doc"), F.count(F.lit(1)).alias("n"), F.max(part).alias("_most")
-    )
+    ))
     terms = runs.groupBy("term").agg(F.sum("n").alias("df"), F.max("_most").alias("_most"))
     weighed = terms.select("term", "df", bm25.idf(F.lit(row["n_docs"]), F.col("df")).alias("idf"), "_most")
     blocks = runs.join(weighed.select("term", "idf"), "term")
@@ -100,11 +104,13 @@ def build(docs: DataFrame, k1: float = bm25.K1, b: float = bm25.B, block_size: i
     k1, b = bm25.checked(k1, b)
     if block_size < 1:
         raise ValueError(f"block_size must be at least 1: {block_size}")
-    mapped = dense_ids(docs.select("raw_id", "text"), F.col("raw_id"), name="mapped_id")
-    tokens = tokenize(mapped.select("mapped_id", "text"))
-    postings = count_postings(stem_terms(tokens) if stem else tokens)
+    mapped = listed(docs)
+    tokens = tokenize(mapped)
+    # Kept, as blocks, terms and the postings table all read it.
+    numbered = cut(dense_ids(count_postings(stem_terms(tokens) if stem else tokens), F.col("mapped_id"), within=("term",), name="_no"))
     lengths = doc_lengths(mapped)
     stats = corpus_stats(lengths)
-    blocks, terms = block_bounds(postings, stats, k1, b, block_size)
+    blocks, terms = block_bounds(numbered, stats, k1, b, block_size)
+    postings = numbered.drop("_no")
     meta = stats.select("*", F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(block_size).alias("block_size"), F.lit(stem).alias("stemmed"))
     return Index(mapped.select("raw_id", "mapped_id"), postings, terms, blocks, lengths, meta)
