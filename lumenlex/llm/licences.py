@@ -1,8 +1,12 @@
 """License scans: headers and licence files against templates, then inheritance down the directory tree.
 
-Each line of a text that speaks of a licence, alone and together with the lines after it, is a sparse TF-IDF vector;
-its cosine with the templates' vectors names the licence. Words that no template knows lengthen the vector, so a
-sentence that only mentions a licence scores low. Weights come from the templates alone. A row whose file name is that
+Each line of a text that speaks of a licence, alone and together with the lines after it, and each such sentence is a
+sparse TF-IDF vector; its cosine with the templates' vectors names the licence. Besides, wherever an anchor word of a
+template of four words or more stands, the words around it, as many as the template has, are compared with that
+template: a notice is found anywhere in a line and across lines. Words that no template knows lengthen the vector, so
+a sentence that only mentions a licence scores low; a bare title such as "MIT License" counts as a line or sentence of
+its own, not amid one. A licence is only named where one of its own words stands. Weights come from the templates
+alone. A row whose file name is that
 of a licence file gives its licence to its directory; a row without a licence of its own takes that of its nearest
 ancestor directory, by an equi-join of its ancestor paths with the directories.
 
@@ -25,7 +29,10 @@ from pyspark.sql import functions as F
 from lumenlex.shared import cut
 
 MIN_SCORE, LINES_AFTER = 0.55, 8
-CUE = re.compile(r"licen[cs]|spdx|copying|redistribut|public domain|creative commons|permission is hereby|\bcc[ -](?:by|0)|\bcc0\b|\bgnu\b|\b[al]?gpl", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]|spdx|copying|redistribut|public\s+domain|creative\s+commons|permission\s+(?:is\s+hereby|to\s+use)|\bcc[ -](?:by|0)|\bcc0\b|\bgnu\b|\b[al]?gpl", re.IGNORECASE)
+SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|\Z)")
+#: Words of templates that a window is laid around, and the words of the shortest template that has windows.
+ANCHORS, SHORTEST = frozenset("license licensed spdx permission redistribute redistribution domain gnu creative".split()), 4
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 FILE_NAMES = ("license", "licence", "copying", "unlicense", "notice")
 
@@ -74,51 +81,104 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "SPDX-License-Identifier: CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 }
+# Words of which one must stand in a text of the licence.
+OWN_WORDS = {
+    "MIT": {"mit", "hereby"}, "Apache-2.0": {"apache"}, "GPL-2.0": {"gnu", "gpl", "general"}, "GPL-3.0": {"gnu", "gpl", "general"},
+    "LGPL-3.0": {"lesser", "library", "lgpl"}, "LGPL-2.1": {"lesser", "library", "lgpl"}, "AGPL-3.0": {"affero", "agpl"},
+    "BSD-2-Clause": {"bsd", "redistribution"}, "BSD-3-Clause": {"bsd", "redistribution", "neither", "endorse"}, "MPL-2.0": {"mozilla", "mpl"}, "ISC": {"isc", "hereby"},
+    "Unlicense": {"unencumbered", "unlicense"}, "CC0-1.0": {"0", "zero"}, "CC-BY-4.0": {"cc", "attribution"}, "CC-BY-SA-4.0": {"sa", "sharealike"},
+    "CC-BY-NC-4.0": {"nc", "noncommercial"}, "CC-BY-NC-SA-4.0": {"nc", "noncommercial"}, "CC-BY-ND-4.0": {"nd", "noderivatives"},
+}
+
+
+def plain(text: str) -> str:
+    return text.lower().replace("licence", "license")
+
 
+def words(text: str) -> list[str]:
+    return WORD.findall(plain(text))
 
-def words(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower().replace("licence", "license")))
+
+def better(p: tuple[float, str]) -> tuple[float, list[int]]:
+    return p[0], [-ord(c) for c in p[1]]
 
 
 class Templates:
     """Sparse vectors of the templates, of length 1, by word."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
-        rows = [(name, words(text)) for name, texts in sorted(templates.items()) for text in texts]
+        texts = [(name, words(text)) for name, texts in sorted(templates.items()) for text in texts]
+        rows = [(name, Counter(ws)) for name, ws in texts]
         df = Counter(w for _, counts in rows for w in counts)
         self.idf = {w: math.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
         self.unknown = math.log(1 + len(rows)) + 1
         self.names = [name for name, _ in rows]
+        self.own = [OWN_WORDS.get(name, set(counts)) for name, counts in rows]
+        self.vectors = [self.unit(counts) for _, counts in rows]
         self.by_word: dict[str, list[tuple[int, float]]] = {}
-        for i, (_, counts) in enumerate(rows):
-            for w, x in self.unit(counts).items():
+        for i, vector in enumerate(self.vectors):
+            for w, x in vector.items():
                 self.by_word.setdefault(w, []).append((i, x))
+        # By anchor word: the templates that hold it, where, and how many words they have.
+        self.at_anchor: dict[str, list[tuple[int, int, int]]] = {}
+        for i, (_, ws) in enumerate(texts):
+            for at, w in enumerate(ws):
+                if w in ANCHORS and len(ws) >= SHORTEST:
+                    self.at_anchor.setdefault(w, []).append((i, at, len(ws)))
+        self.longest = max((len(ws) for _, ws in texts), default=0)
 
     def unit(self, counts: Counter) -> dict[str, float]:
         weighed = {w: (1 + math.log(n)) * self.idf.get(w, self.unknown) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in weighed.values()))
         return {w: x / norm for w, x in weighed.items()}
 
-    def best(self, text: str) -> tuple[float, str]:
+    def best(self, ws: list[str]) -> tuple[float, str]:
+        """The highest cosine of the templates whose own words stand in ws, and the licence."""
         scores: dict[int, float] = {}
-        for w, x in self.unit(words(text)).items():
+        for w, x in self.unit(Counter(ws)).items():
             for i, y in self.by_word.get(w, ()):
                 scores[i] = scores.get(i, 0.0) + x * y
-        return max(((round(s, 9), self.names[i]) for i, s in scores.items()), key=lambda p: (p[0], [-ord(c) for c in p[1]]), default=(0.0, ""))
+        return max(((round(s, 9), self.names[i]) for i, s in scores.items() if not self.own[i].isdisjoint(ws)), key=better, default=(0.0, ""))
+
+    def windows(self, ws: list[str]) -> Iterator[tuple[float, str]]:
+        """The cosine of each template with as many words around each of its anchors, and the licence."""
+        seen: set[tuple[str, ...]] = set()
+        for p, w in enumerate(ws):
+            held = self.at_anchor.get(w)
+            if not held:
+                continue
+            low = max(0, p - self.longest)
+            around = tuple(ws[low : p + self.longest])
+            if (p - low, *around) in seen:
+                continue
+            seen.add((p - low, *around))
+            near, spans = set(around), {}
+            for i, at, n in held:
+                if not self.own[i].isdisjoint(near):
+                    spans.setdefault((max(0, p - at), p - at + n), []).append(i)
+            for (start, end), found in spans.items():
+                counts = Counter(ws[start:end])
+                vector = None
+                for i in found:
+                    if not self.own[i].isdisjoint(counts):
+                        vector = vector or self.unit(counts)
+                        yield round(sum(x * vector.get(t, 0.0) for t, x in self.vectors[i].items()), 9), self.names[i]
 
     def scan(self, text: str | None, least: float = MIN_SCORE) -> tuple[str | None, float]:
         """The licence of a whole text and its cosine."""
         if not text or not CUE.search(text):
             return None, 0.0
+        text = plain(text)
         lines, found, seen = text.split("\n"), (0.0, ""), set()
         for i, line in enumerate(lines):
             if not CUE.search(line):
                 continue
-            for n in (1, 2, 4, LINES_AFTER):
-                part = "\n".join(lines[i : i + n])
+            parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, LINES_AFTER)]
+            for part in parts + [m[0] for m in SENTENCE.finditer(line) if CUE.search(m[0])]:
                 if part not in seen:
                     seen.add(part)
-                    found = max(found, self.best(part), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
+                    found = max(found, self.best(WORD.findall(part)), key=better)
+        found = max((found, *self.windows(WORD.findall(text))), key=better)
         return (found[1], found[0]) if found[0] >= least else (None, 0.0)
 
 

@@ -31,3 +31,16 @@ def test_notices_deep_in_long_texts():
 def test_a_root_licence_is_inherited_by_all(spark):
     df = spark.createDataFrame([(0, "LICENSE", "Released under the MIT License."), *((i, f"p{i % 3}/f{i}", "x") for i in range(1, 50))], "doc_id long, path string, text string")
     assert {r["licence"] for r in L.scan(df, F.col("path")).collect()} == {"MIT"}
+
+
+def test_notices_amid_the_words_of_a_line():
+    t = L.Templates()
+    notices = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "SPDX-License-Identifier: ISC": "ISC"}
+    for n in (5, 10, 40, 3000):
+        filler = " ".join(f"lorem{'xyz'[i % 3]}" for i in range(n))
+        for notice, name in notices.items():
+            assert t.scan(f"{filler} {notice} {filler}") == (name, 1.0)
+            assert t.scan(f"{filler} {notice.replace(' ', chr(10), 2)} {filler}") == (name, 1.0)
+    assert t.scan(f"{filler}. MIT License. {filler}") == ("MIT", 1.0)
+    for mention in ("someone wrote that the MIT License is short and liked", "a long essay about the GNU General Public License version 3 appeared yesterday", "sold to others and licensed under the Acme terms of trade"):
+        assert t.scan(f"{filler} {mention} {filler}") == (None, 0.0)
