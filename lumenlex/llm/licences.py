@@ -5,8 +5,9 @@ sparse TF-IDF vector; its cosine with the templates' vectors names the licence.
 template of four words or more stands, the words around it, as many as the template has, are compared with that
 template: a notice is found anywhere in a line and across lines. Words that no template knows lengthen the vector, so
 a sentence that only mentions a licence scores low; a bare title such as "MIT License" counts as a line or sentence of
-its own, not amid one. A licence is only named where one of its own words stands. Weights come from the templates
-alone. A row whose file name is that
+its own, not amid one. A licence is only named where one of its own words stands, and telling words decide between
+near-equal ones: lesser or affero against GPL, the third clause against the two-clause BSD. Weights come from the
+templates alone. A row whose file name is that
 of a licence file gives its licence to its directory; a row without a licence of its own takes that of its nearest
 ancestor directory, by an equi-join of its ancestor paths with the directories.
 
@@ -56,14 +57,23 @@ TEMPLATES = {
     ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
     ),
     "LGPL-2.1": (
         "This work is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1",
     ),
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Simplified BSD License, two clauses",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Simplified BSD License, two clauses"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "New BSD License, three clauses",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met; neither the name of the copyright holder may be used to endorse products",
@@ -90,6 +100,11 @@ OWN_WORDS = {
     "CC-BY-NC-4.0": {"nc", "noncommercial"}, "CC-BY-NC-SA-4.0": {"nc", "noncommercial"}, "CC-BY-ND-4.0": {"nd", "noderivatives"},
 }
 
+# Words that tell a text from the near-equal licence of that name; the clauses that both BSD licences
+# begin with, what only the three-clause one says, and how many words after the clauses begin it may say so.
+TELLING = dict.fromkeys(("GPL-2.0", "GPL-3.0"), re.compile(r"\b(?:lesser|affero|library) (?:general|gpl)\b|\b[al]gpl\b"))
+BSD, CLAUSES, THIRD_CLAUSE, CLAUSE_WORDS = ("BSD-2-Clause", "BSD-3-Clause"), "redistribution and use in source and binary forms", re.compile(r"\bneither the names?\b|\bto endorse\b"), 200
+
 
 def plain(text: str) -> str:
     return text.lower().replace("licence", "license")
@@ -99,6 +114,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(plain(text))
 
 
+def told(name: str, text: str) -> bool:
+    """Whether text has a word that tells it from the licence of that name."""
+    return name in TELLING and TELLING[name].search(text) is not None
+
+
+def clauses(text: str) -> str | None:
+    """Which BSD licence the clauses in text are of, if they are there."""
+    if CLAUSES not in text:
+        return None
+    after = (" ".join(t.split(" ", CLAUSE_WORDS)[:CLAUSE_WORDS]) for t in text.split(CLAUSES)[1:])
+    return BSD[any(THIRD_CLAUSE.search(t) for t in after) or "bsd 3 clause" in text]
+
+
 def better(p: tuple[float, str]) -> tuple[float, list[int]]:
     return p[0], [-ord(c) for c in p[1]]
 
@@ -138,7 +166,8 @@ class Templates:
         for w, x in self.unit(Counter(ws)).items():
             for i, y in self.by_word.get(w, ()):
                 scores[i] = scores.get(i, 0.0) + x * y
-        return max(((round(s, 9), self.names[i]) for i, s in scores.items() if not self.own[i].isdisjoint(ws)), key=better, default=(0.0, ""))
+        text = " ".join(ws)
+        return max(((round(s, 9), self.names[i]) for i, s in scores.items() if not self.own[i].isdisjoint(ws) and not told(self.names[i], text)), key=better, default=(0.0, ""))
 
     def windows(self, ws: list[str]) -> Iterator[tuple[float, str]]:
         """The cosine of each template with as many words around each of its anchors, and the licence."""
@@ -160,7 +189,7 @@ class Templates:
                 counts = Counter(ws[start:end])
                 vector = None
                 for i in found:
-                    if not self.own[i].isdisjoint(counts):
+                    if not self.own[i].isdisjoint(counts) and not told(self.names[i], " ".join(ws[start:end])):
                         vector = vector or self.unit(counts)
                         yield round(sum(x * vector.get(t, 0.0) for t, x in self.vectors[i].items()), 9), self.names[i]
 
@@ -178,7 +207,10 @@ class Templates:
                 if part not in seen:
                     seen.add(part)
                     found = max(found, self.best(WORD.findall(part)), key=better)
-        found = max((found, *self.windows(WORD.findall(text))), key=better)
+        ws = WORD.findall(text)
+        found = max((found, *self.windows(ws)), key=better)
+        if found[1] in BSD:
+            found = found[0], clauses(" ".join(ws)) or found[1]
         return (found[1], found[0]) if found[0] >= least else (None, 0.0)
 
 

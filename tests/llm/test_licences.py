@@ -44,3 +44,34 @@ def test_notices_amid_the_words_of_a_line():
     assert t.scan(f"{filler}. MIT License. {filler}") == ("MIT", 1.0)
     for mention in ("someone wrote that the MIT License is short and liked", "a long essay about the GNU General Public License version 3 appeared yesterday", "sold to others and licensed under the Acme terms of trade"):
         assert t.scan(f"{filler} {mention} {filler}") == (None, 0.0)
+
+
+HEADER = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+CLAUSES = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_near_equal_licences_are_told_apart():
+    t = L.Templates()
+    for name, version, licence in (
+        ("General Public License", "2", "GPL-2.0"), ("General Public License", "3", "GPL-3.0"), ("Lesser General Public License", "2.1", "LGPL-2.1"),
+        ("Lesser General Public License", "3", "LGPL-3.0"), ("Affero General Public License", "3", "AGPL-3.0"),
+    ):
+        header = HEADER.format(name, version)
+        assert t.scan(header)[0] == t.scan("# " + header.replace("the ", "the\n# "))[0] == t.scan(header.replace("program", "library"))[0] == licence
+    rest = "\nTHIS SOFTWARE IS PROVIDED AS IS AND ANY WARRANTIES ARE DISCLAIMED."
+    for text, licence in ((CLAUSES + rest, "BSD-2-Clause"), (CLAUSES + THIRD + rest, "BSD-3-Clause")):
+        assert t.scan(text)[0] == t.scan(text.replace("\n", " "))[0] == licence
