@@ -136,3 +136,11 @@ def test_counts_of_postings(spark):
     texts = ["omega", "omega omega", "x", None]
     got = Counter({(r["term"], r["mapped_id"]): r["tf"] for r in build(spark, texts).postings.collect()})
     assert got == Counter({("omega", 0): 1, ("omega", 1): 2, ("x", 2): 1})
+
+
+def test_weighted_sets_draw_over_the_whole_vocabulary(spark):
+    terms = spark.createDataFrame([("hot", 1_000_000), *((f"t{i:05}", 1 + i % 3) for i in range(20_000))], "term string, df long")
+    sets = [r["text"].split() for r in querysets.sampled(terms, 60, weighted=True).collect()]
+    assert len(sets) == 60 and all("hot" in t and 5 <= len(set(t)) == len(t) <= 10 for t in sets)
+    few = spark.createDataFrame([("hot", 1_000_000_000), *((f"t{i}", 1) for i in range(5))], "term string, df long")
+    assert all(sorted(r["text"].split()) == ["hot", *(f"t{i}" for i in range(5))] for r in querysets.sampled(few, 20, (6, 10), weighted=True).collect())
