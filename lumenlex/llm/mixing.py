@@ -4,7 +4,7 @@ Sources in order of code points, NULL last, weigh 1, 2, 3, 1, ... and share all
 its source's words and the excess is shared again by weight. A source takes each document ``epochs`` times, as often
 as its target allows, and fits the remaining budget by a subset: documents are counted by exact length, each length
 first gives its proportional share, the largest then fill the budget down to ``window`` words, and a
-bounded-knapsack dynamic program over the lengths left closes the gap. Within a length, documents are picked in the
+bounded-knapsack dynamic program over all lengths left, shortest first, closes the gap as far as any of them can. Within a length, documents are picked in the
 order of a seeded hash.
 
 Only counts meet in one place: a source's counts by length (as many rows as it has lengths) in one task, sources
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from lumenlex.operators.dense import dense_ids
 from lumenlex.shared import cut
 
-WEIGHTS, CAP, SEED, WINDOW_WORDS, MAX_ITEMS = (1, 2, 3), 3, 17, 1 << 16, 400
+WEIGHTS, CAP, SEED, WINDOW_WORDS = (1, 2, 3), 3, 17, 1 << 16
 SLICE_BITS = 10
 WHITE = " \t\n\x0b\x0c\r"
 KEYS = ["__mix_source", "__mix_null", "__mix_size", "__mix_slice"]
@@ -68,7 +68,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     return weighed.select("__mix_source", "__mix_null", "source_size", F.least(most, F.lit(level) * F.col("__mix_weight")).alias("target"))
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW_WORDS, max_items: int = MAX_ITEMS) -> np.ndarray:
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW_WORDS) -> np.ndarray:
     """How many documents of each size to take so that their words come as near to budget from below as can be found."""
     taken = np.zeros(len(sizes), np.int64)
     words = int((sizes * counts).sum())
@@ -85,25 +85,27 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW
         taken[i] += more
         left[i] -= more
         rest -= more * int(sizes[i])
-    # Which sums up to rest can be reached, as a bitmap; one bitmap is kept before each item to trace the best sum.
-    usable = np.flatnonzero((left > 0) & (sizes > 0) & (sizes <= rest))
-    if len(usable) > max_items:
-        usable = usable[np.linspace(0, len(usable) - 1, max_items).astype(int)]
-    rest, full, reach, steps = int(rest), (1 << (int(rest) + 1)) - 1, 1, []
-    for i in usable:
+    # Which sums up to rest can be reached, and by which step each was first: the steps before it reach what is left.
+    rest = int(rest)
+    reach, first, steps = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64), []
+    reach[0] = True
+    for i in np.flatnonzero((left > 0) & (sizes > 0) & (sizes <= rest)):
         n, lot = min(int(left[i]), rest // int(sizes[i])), 1
-        while n > 0:
+        while n > 0 and not reach[rest]:
             lot = min(lot, n)
-            steps.append((int(i), lot, reach))
-            reach |= (reach << (lot * int(sizes[i]))) & full
+            by = lot * int(sizes[i])
+            new = reach[:-by] & ~reach[by:]
+            first[by:][new] = len(steps)
+            reach[by:] |= new
+            steps.append((int(i), lot))
             n, lot = n - lot, lot * 2
-        if reach >> rest & 1:
+        if reach[rest]:
             break
-    at = reach.bit_length() - 1
-    for i, lot, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += lot
-            at -= lot * int(sizes[i])
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, lot = steps[first[at]]
+        taken[i] += lot
+        at -= lot * int(sizes[i])
     return taken
 
 
@@ -114,6 +116,7 @@ def plans(counts: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     aims = cut(targets(totals, weights, cap))
 
     def of_source(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__mix_size", ignore_index=True)  # the fit depends on the order, and a shuffle's differs
         size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         epochs = int(target // size) if size else 0
         lengths = rows["__mix_size"].to_numpy()
@@ -121,7 +124,7 @@ def plans(counts: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
         return rows.assign(epochs=epochs, n_take=taken).drop(columns="__mix_n")
 
     schema = "__mix_source string, __mix_null boolean, __mix_size long, source_size long, target double, epochs int, n_take long"
-    fitted = by_size.join(aims, ["__mix_source", "__mix_null"]).groupBy("__mix_source", "__mix_null").applyInPandas(of_source, schema)
+    fitted = cut(by_size.join(aims, ["__mix_source", "__mix_null"]).groupBy("__mix_source", "__mix_null").applyInPandas(of_source, schema))
     lower = Window.partitionBy("__mix_source", "__mix_null", "__mix_size").orderBy("__mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("n_before", F.coalesce(F.sum("__mix_n").over(lower), F.lit(0))).drop("__mix_n")
     return before.join(fitted, KEYS[:3])

@@ -75,3 +75,23 @@ def test_fit_is_bounded_and_close():
         taken = M.fit(sizes, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
         assert 0 <= budget - (sizes * taken).sum() <= 2
+
+
+def test_the_fit_uses_every_length():
+    for spot in (200, 201, 202):  # only one odd length makes an odd budget exact, wherever it stands
+        sizes = np.sort(np.append(2 * np.arange(1, 601), 2 * spot + 1))
+        taken = M.fit(sizes, np.ones(601, np.int64), 40_001)
+        assert (sizes * taken).sum() == 40_001 and taken.max() == 1
+
+
+def test_the_plan_does_not_hang_on_the_order_of_rows(spark):
+    rows = [("a", False, 1 + i, 0, 3) for i in range(350)] + [("b", False, 50, 0, 4000)]
+    schema = "__mix_source string, __mix_null boolean, __mix_size long, __mix_slice int, __mix_n long"
+    take = lambda rs: {(r["__mix_source"], r["__mix_size"]): r["n_take"] for r in M.plans(spark.createDataFrame(rs, schema)).collect()}
+    first = take(rows)
+    sizes = np.arange(1, 351)
+    budget = M.targets(spark.createDataFrame([("a", False, int(3 * sizes.sum())), ("b", False, 200_000)], "__mix_source string, __mix_null boolean, source_size long")).collect()
+    target = next(r for r in budget if r["__mix_source"] == "a")
+    left = round(target["target"] - target["target"] // target["source_size"] * target["source_size"])
+    assert [first["a", s] for s in range(1, 351)] == M.fit(sizes, np.full(350, 3), left).tolist()
+    assert take(rows[::-1]) == first
