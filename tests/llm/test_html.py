@@ -70,3 +70,18 @@ def test_a_page_reads_the_same_in_any_company():
     model = H.trained()
     pages = [PAGE, None, "<p>x</p>", PAGE.replace("article", "main")]
     assert H.main_texts(pages, model) == [H.main_texts([p], model)[0] for p in pages]
+
+
+@pytest.mark.parametrize("inner", [
+    '<svg class="i"/>', "<math/>", "<svg>", "<object data=x>", "<noscript>", "<template>", "<select>", '<svg class="i"/><svg><title>icon</title><g><text>drawn</text></g></svg>',
+    "<noscript>please enable</noscript>", "<select><option>one more</select>", "<object><p>no plugin</p></object>", "<svg><foreignObject><p>drawn</p></foreignObject></svg>",
+])
+def test_skipped_elements_end_where_they_end(inner):
+    for around in ("{}", "<div>{}</div>"):
+        page = f"<article><p>one</p>{around.format(inner)}<p>two</p><p>three</p></article><p>four</p>"
+        assert [b[1] for b in leaf_blocks(page)] == ["one", "two", "three", "four"]
+
+
+def test_text_of_formulas_is_kept():
+    assert [b[1] for b in leaf_blocks("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>so</p>")] == ["as x=1 holds", "so"]
+    assert [b[1] for b in leaf_blocks("<p>a<svg><desc>b</desc></svg>c<script>d</script></p>")] == ["ac"]
