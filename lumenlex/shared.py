@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir; on a local master alone, a temporary one if the session names none."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lumenlex-')}"
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
+        named = f"file://{tempfile.mkdtemp(prefix='lumenlex-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; later stages read it from there, not from executors."""
+    """df, computed once and kept in the shared folder; later stages read it from there, not from executors.
+
+    Partitions stay as they are, and so does the order inside them.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -28,3 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that a job writes and reads again."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Tables of one job in the shared folder, each written once, and deleted when the job says so."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes the files of tables that nothing will read again; others than written ones are left alone."""
+        for table in tables:
+            _, path = self._paths.pop(id(table), (None, None))
+            if path is not None:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
