@@ -5,18 +5,22 @@ them. A node has MinHash samples, hashed in bands, and an odd sketch: the sample
 least hash in each of ``2 ** BIN_BITS`` ranges) folded into a parity bitmap. The set bits of two sketches' XOR estimate how
 many samples differ, and so the similarity, to within a few hundredths where it is high.
 
-Candidates come from the bands: each member of a bucket meets the bucket's smallest node, not every other member.
-Those whose sketches rule out the wanted similarity go, the rest is confirmed on the full sets. Members of a bucket
-that then are still in different components are compared in blocks, sketch against sketch, inside a task; first the
-few likeliest partners of the nodes outside the block's largest component are confirmed, then whatever pairs are
-left, so no link between members of a bucket is lost and no bucket emits all its pairs.
+Bands are range-partitioned with their nodes and streamed, so a bucket that a third of all nodes share spreads over
+ranges; only the runs that touch a range's ends are put together by a table of two rows for each range. Each member
+of a bucket first meets the bucket's smallest node. Of those whose sketches do not rule out the wanted similarity, the
+likeliest one of each node is confirmed on the full sets. Members of a bucket that then are still in different
+components are compared in blocks inside a task: those outside the bucket's largest component against all, sketch
+against sketch, and then the sets of all pairs that are not ruled out, unless others have connected the two by then.
+A task gets each set that it needs once, and only links leave it, so no link between members of a bucket is lost and
+no bucket emits its pairs. Tables that are done with are deleted.
 
 With 32 bands of 5 samples a pair of similarity 0.8 shares no bucket in 3 of a million cases. A sketch rules a pair
 out if the estimate lies 4.5 standard deviations below the wanted similarity, which is as rare.
 
 Defined results: a text of fewer words than a shingle has is one shingle; one without words, or NULL, has none and is
-linked with nothing. Rows that share a doc_id are one document. A row with NULL doc_id takes no part: component_id is
-NULL and it is kept. Other columns are not looked at and may bear any name.
+linked with nothing. Rows that share a doc_id are one document, linked with all that any of its texts is linked with.
+A row with NULL doc_id takes no part: component_id is NULL and it is kept. Other columns are not looked at and may bear
+any name.
 """
 
 from __future__ import annotations
@@ -30,10 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm.components import components
-from lumenlex.shared import cut
+from lumenlex.shared import Tables
 
 WORDS, SIMILARITY, BANDS, ROWS, BIN_BITS, SKETCH_BITS, SEED = 5, 0.8, 32, 5, 12, 2048, 7
-BLOCK, FIRST_TRIES, DEVIATIONS, CACHED_WORDS = 512, 3, 4.5, 200_000
+#: Nodes of a block of those outside a bucket's largest component, and of a block of all its members.
+ASKING, MEMBERS = 1024, 4096
+#: Shingles of a side of a task, members for each copy of a star's centre, ids that may be broadcast.
+TILE_SHINGLES, STAR, BROADCAST_IDS = 1 << 20, 2048, 1_000_000
+DEVIATIONS, CACHED_WORDS = 4.5, 100_000
+TAG = 0x7FFFFFFF  # the bits of a band by which a task knows buckets that two nodes share besides its own
 _U64 = np.uint64
 
 
@@ -130,123 +139,326 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, bits: int, se
                 both = xxhash.xxh3_128_digest(s.tobytes())
                 out.append((doc_id, len(s), *np.frombuffer(both, np.int64).tolist(), *signer.sign(s)))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+                kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, pa.int32()]
                 names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "folded"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, folded int")
+    numbers = "doc_id long, n_shingles long, set_a long, set_b long"
+    return docs.mapInArrow(run, f"{numbers}, bands array<long>, sketch array<long>, folded int")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set: the full sets of shingle hashes."""
+    """node (the doc_id), set_a, set: the full sets of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 texts = b.column("text").slice(i, 256)
                 sets = [shingles(t.as_py(), words).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 256), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+                names = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
+                columns = [b.column("doc_id").slice(i, 256), pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "set_a", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    return docs.mapInArrow(run, "node long, set_a long, set array<long>")
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """The pairs (u, v) whose odd sketches do not rule out the similarity. sketches: node, sketch, folded, n_shingles."""
-    both = pairs.join(sketches.toDF("u", "su", "cu", "hu"), "u").join(sketches.toDF("v", "sv", "cv", "hv"), "v")
-    xor = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
-    left = 1 - 2 * xor / bits
+def among(rows: DataFrame, column: str, ids: DataFrame, how: str, most: int | None = None) -> DataFrame:
+    """Rows whose column is (``left_semi``) or is not (``left_anti``) one of ids, a table of that one distinct column.
+
+    Few ids, counted, are broadcast, so that texts stay where they are; more meet them in a shuffle.
+    """
+    few = ids.limit((most if most is not None else BROADCAST_IDS) + 1)
+    small = few.count() <= (most if most is not None else BROADCAST_IDS)
+    return rows.join(F.broadcast(ids) if small else ids, column, how)
+
+
+def buckets(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """band, node, least, n of every node that shares a band with another: the least of them, and how many there are."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select(F.explode("bands").alias("band"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_band, parts, first = 0, [], True
+
+        def closed(bands: np.ndarray, nodes: np.ndarray, start: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            size = np.diff(np.r_[start, len(bands)])
+            keep = np.repeat((size > 1) | edge, size)
+            columns = [bands, nodes, np.repeat(nodes[start], size), np.repeat(size, size), np.repeat(edge, size)]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["band", "node", "least", "n", "edge"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, node = b.column("band").to_numpy(), b.column("node").to_numpy()
+            start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            if parts and band[0] == open_band and len(start) == 1:
+                parts.append(node)
+                continue
+            if parts:
+                end = start[1] if band[0] == open_band else 0
+                nodes = np.concatenate([*parts, node[:end]])
+                yield closed(np.full(len(nodes), open_band), nodes, np.zeros(1, np.int64), np.array([first]))
+                band, node, first = band[end:], node[end:], False
+                start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            if len(start) > 1:
+                edge = np.zeros(len(start) - 1, bool)
+                edge[0] = first
+                yield closed(band[: start[-1]], node[: start[-1]], start[:-1], edge)
+                first = False
+            open_band, parts = int(band[-1]), [node[start[-1] :]]
+        if parts:
+            nodes = np.concatenate(parts)
+            yield closed(np.full(len(nodes), open_band), nodes, np.zeros(1, np.int64), np.array([True]))
+
+    ranged = rows.repartitionByRange(n, "band", "node").sortWithinPartitions("band", "node")
+    runs = tables.write(ranged.mapInArrow(run, "band long, node long, least long, n long, edge boolean"), "runs")
+    # At most two bands for each range: its size is that of the number of partitions, whatever the input.
+    ends = runs.where("edge").groupBy("band").agg(F.min("least").alias("least_"), F.count(F.lit(1)).alias("n_"))
+    whole = runs.join(F.broadcast(ends), "band", "left")
+    whole = whole.select("band", "node", F.coalesce("least_", "least").alias("least"), F.coalesce("n_", "n").alias("n"))
+    held = tables.write(whole.where("n > 1"), "held")
+    tables.drop(runs)
+    return held
+
+
+def salted(node: Column, n: Column, per: int) -> tuple[Column, Column]:
+    """Which of ceil(n / per) copies of a row a node meets, and the copies of that row."""
+    copies = F.ceil(n / per).cast("int")
+    return F.pmod(F.xxhash64(F.lit(SEED), node), copies).cast("int"), F.explode(F.sequence(F.lit(0), copies - 1))
+
+
+def alike(stars: DataFrame, sketches: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """u, v, tile, weight, margin of the stars (u, v, n) whose odd sketches do not rule out the similarity.
+
+    A centre v is sent once for each STAR members. sketches: node, sketch, folded, n_shingles.
+    """
+    salt, copies = salted(F.col("u"), F.col("n"), STAR)
+    centres = stars.groupBy("v").agg(F.max("n").alias("n")).select("v", copies.alias("salt"))
+    facts = sketches.select("node", "sketch", "folded", "n_shingles")
+    centres = centres.join(facts.toDF("v", "sv", "cv", "hv"), "v")
+    both = stars.withColumn("salt", salt).join(facts.toDF("u", "su", "cu", "hu"), "u").join(centres, ["v", "salt"])
+    bits_set = F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    left = 1 - 2 * F.aggregate(bits_set, F.lit(0), lambda total, x: total + x) / bits
     common = (F.col("cu") + F.col("cv") + bits / 2 * F.log(left)) / 2
     needed = least_common(F.col("cu") + F.col("cv"), F.col("hu") + F.col("hv"), similarity, bits, F.sqrt, F.exp)
-    return both.where((left > 0) & (common >= needed)).select("u", "v")
+    tile = F.xxhash64("v", "salt").alias("tile")
+    near = both.where(left > 0).select("u", "v", tile, F.col("hu").alias("weight"), (common - needed).alias("margin"))
+    return near.where("margin >= 0")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
-    one, two = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
-    both = pairs.join(one, "u").join(two, "v")
-    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    return common.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("u", "v")
+    """The pairs (u, v, tile, weight) whose full sets are similar enough: 100 * intersection >= percent * union.
 
-
-def cross_pairs(members: DataFrame, similarity: float, bits: int, tries: int | None) -> DataFrame:
-    """Pairs of a bucket's members in different components that the sketches do not rule out.
-
-    members: band, n (the bucket's size), node, component, bands, sketch, folded, n_shingles. Members are dealt into
-    blocks and each pair of blocks is compared in one task, about two blocks of sketches at a time. A pair that shares
-    several buckets comes from the first of them alone. tries: only the likeliest
-    partners of each node outside the largest component; None: all.
+    Tiles are gathered in groups of about TILE_SHINGLES shingles, and a group gets each set that it needs once.
+    """
+    weight = pairs.agg(F.sum("weight")).first()[0] or 0
+    groups = max(1, int(weight) // TILE_SHINGLES)
+    keyed = pairs.select("u", "v", F.pmod(F.xxhash64("tile"), F.lit(groups)).alias("g"))
+    need = keyed.select(F.col("g").alias("h"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for node, s in zip(right.column("node").to_pylist(), right.column("set"), strict=True):
+            held.setdefault(node, []).append(s.values.to_numpy().view(_U64))
+        u, v = left.column("u").to_pylist(), left.column("v").to_pylist()
+        found = [any(similar(x, y, percent) for x in held[a] for y in held[b]) for a, b in zip(u, v, strict=True)]
+        return left.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
+
+    return keyed.groupBy("g").cogroup(need.groupBy("h")).applyInArrow(run, "u long, v long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class Tile:
+    """Members of a bucket in one task: those that ask, the others, and which of them the sketches let be similar."""
+
+    def __init__(self, columns: dict[str, np.ndarray], similarity: float, bits: int):
+        self.__dict__.update(columns)
+        self.slot = int(np.flatnonzero(self.tags[0] == int(self.band[0]) & TAG)[0])
+        self.similarity, self.bits = similarity, bits
+        self.asking, self.others = np.flatnonzero(self.asks), np.flatnonzero(~self.asks)
+
+    def near(self, x: int) -> np.ndarray:
+        """Rows of other components that the sketches do not rule out, likeliest first; pairs of an earlier bucket are its own."""
+        y, size, least = self.others, self.n_shingles, self.similarity
+        fits = (self.component[y] != self.component[x]) & (np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x]) - 1e-6)
+        y = y[fits & ~(self.both_ask[y] & (self.node[y] > self.node[x]))]
+        y = y[~(self.tags[y, : self.slot] == self.tags[x, : self.slot]).any(1)]
+        left = 1 - 2 * np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(1) / self.bits
+        folded = self.folded[y] + self.folded[x]
+        common = (folded + self.bits / 2 * np.log(np.maximum(left, 1e-12))) / 2
+        margin = common - least_common(folded, size[y] + size[x], least, self.bits, np.sqrt, np.exp)
+        keep = np.flatnonzero((left > 0) & (margin >= 0))
+        return y[keep[np.lexsort((self.node[y[keep]], -margin[keep]))]]
+
+    def needed(self) -> np.ndarray:
+        """Whether each row stands in any such pair."""
+        wanted = np.zeros(len(self.node), bool)
+        for x in self.asking.tolist():
+            y = self.near(x)
+            wanted[y] = True
+            wanted[x] = len(y) > 0
+        return wanted
+
+    def links(self, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+        """Similar pairs that connect the components here; a pair already connected by others is not tested."""
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for x in self.asking.tolist():
+            for y in self.near(x).tolist():
+                one, two = find(int(self.component[x])), find(int(self.component[y]))
+                if one != two and similar(sets[x], sets[y], percent):
+                    root[max(one, two)] = min(one, two)
+                    yield int(self.node[x]), int(self.node[y])
+
+
+def tiles(group: pa.Table, similarity: float, bits: int) -> Iterator[tuple[slice, Tile]]:
+    """The tiles of a sorted group, and where in it they are."""
+    names = ("band", "i", "j", "asks", "both_ask", "node", "component", "folded", "n_shingles")
+    columns = {name: group.column(name).to_numpy(zero_copy_only=False) for name in names}
+    for name, kind in (("sketch", _U64), ("tags", np.int32)):
+        flat = group.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        columns[name] = flat.view(kind).reshape(group.num_rows, -1)
+    new = np.ones(group.num_rows, bool)
+    new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in ("band", "i", "j")], axis=0)
+    start = np.flatnonzero(new)
+    for low, high in zip(start.tolist(), [*start[1:].tolist(), group.num_rows], strict=True):
+        here = slice(low, high)
+        yield here, Tile({name: c[here] for name, c in columns.items()}, similarity, bits)
+
+
+TILE = "band long, i int, j int, asks boolean, both_ask boolean"
+FACTS = "node long, component long, set_a long, sketch array<long>, tags array<int>, folded int, n_shingles long"
+
+
+def cross_links(
+    held: DataFrame, found: DataFrame, sketches: DataFrame, sets: DataFrame, tables: Tables, similarity: float, bits: int
+) -> DataFrame:
+    """u, v: similar members of a bucket that connect its components.
+
+    Those outside a bucket's largest component ask, in blocks, all its members, in others; both sides of a task hold a
+    bounded number of nodes and of shingles. A first pass tells which members of a task's blocks need their sets there.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), blocks).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "bands", "sketch", "folded", "n_shingles")
-
-    def run(group: pa.Table) -> pa.Table:
-        node, component, own, folded, size = (group.column(c).to_numpy() for c in ("node", "component", "own", "folded", "n_shingles"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch, bands = np.array(group.column("sketch").to_pylist(), np.int64).view(_U64), np.array(group.column("bands").to_pylist(), np.int64)
-        this = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
-        names, sizes = np.unique(component, return_counts=True)
-        asking = np.flatnonzero(component != names[sizes.argmax()])  # each pair of components has one outside the largest
-        found: set[tuple[int, int]] = set()
-        for x in asking:
-            y = np.flatnonzero((component != component[x]) & (own == (j if own[x] == i else i)))
-            y = y[~(bands[y, :this] == bands[x, :this]).any(1)]
-            left = 1 - 2 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) / bits
-            common = (folded[y] + folded[x] + bits / 2 * np.log(np.maximum(left, 1e-12))) / 2
-            needed = least_common(folded[y] + folded[x], size[y] + size[x], similarity, bits, np.sqrt, np.exp)
-            near = np.flatnonzero((left > 0) & (common >= needed))
-            if tries is not None and len(near) > tries:
-                near = near[np.lexsort((node[y[near]], needed[near] - common[near]))[:tries]]
-            found.update((int(max(node[x], node[k])), int(min(node[x], node[k]))) for k in y[near])
-        pairs = sorted(found)
-        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
-
-    return keyed.groupBy("band", "i", "j").applyInArrow(run, "u long, v long").distinct()
-
-
-def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = SEED) -> DataFrame:
+    named = held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(sketches.select("node", "n_shingles"), "node")
+    named = tables.write(named.select("band", "node", "n", "component", "n_shingles"), "named")
+    counts = (F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"), F.max("n").alias("n"))
+    sizes = named.groupBy("band", "component").agg(*counts)
+    largest = F.max_by("component", F.struct("size", -F.col("component"))).alias("largest")
+    per_band = sizes.groupBy("band").agg(
+        largest,
+        F.max("n").alias("n"),
+        F.sum("weight").alias("weight"),
+        F.sum("size").alias("size"),
+        (F.sum("size") - F.max("size")).alias("asking"),
+    )
+    share = F.col("weight") / TILE_SHINGLES
+    mine = F.ceil(F.greatest(F.col("asking") / ASKING, share * F.col("asking") / F.col("size"))).cast("int")
+    theirs = F.ceil(F.greatest(F.col("size") / MEMBERS, share)).cast("int")
+    salt, copies = salted(F.col("node"), F.col("n"), MEMBERS)
+    open_ = per_band.where("asking > 0").select("band", "largest", mine.alias("mine"), theirs.alias("theirs"), copies.alias("salt"))
+    members = named.drop("n_shingles").distinct().withColumn("salt", salt).join(open_, ["band", "salt"]).join(sketches, "node")
+    members = members.withColumn("both_ask", F.col("component") != F.col("largest"))
+    block = lambda blocks: F.pmod(F.xxhash64(F.lit(SEED + 1), "node"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    facts = [c.split()[0] for c in FACTS.split(", ")]
+    asks = members.where("both_ask").withColumns({"i": block("mine"), "asks": F.lit(True)}).withColumn("j", each("theirs"))
+    others = members.withColumns({"j": block("theirs"), "asks": F.lit(False)}).withColumn("i", each("mine"))
+    columns = ["band", "i", "j", "asks", "both_ask", *facts, "mine", "theirs"]
+
+    order = [(c, "ascending") for c in ("band", "i", "j", "node", "set_a", "asks")]
+
+    def needed(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        wanted = [tile.needed() for _, tile in tiles(group, similarity, bits)]
+        return group.filter(pa.array(np.concatenate(wanted)))
+
+    def linking(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        sets = [x.values.to_numpy().view(_U64) for x in group.column("set")]
+        found = [pair for at, tile in tiles(group, similarity, bits) for pair in tile.links(sets[at], round(100 * similarity))]
+        return pa.table({c: pa.array([pair[k] for pair in found], pa.int64()) for k, c in enumerate("uv")})
+
+    # Buckets of one tile go by many to a group of about as many nodes and shingles as a block has.
+    row = per_band.where("asking > 0").agg(F.sum("size"), F.sum("weight")).first()
+    groups = max(1, (row[0] or 0) // MEMBERS, (row[1] or 0) // TILE_SHINGLES)
+    whole_bucket = (F.col("mine") == 1) & (F.col("theirs") == 1)
+    group = F.when(whole_bucket, F.pmod(F.xxhash64("band"), F.lit(groups))).otherwise(F.xxhash64("band", "i", "j")).alias("g")
+    both = asks.select(columns).unionByName(others.select(columns)).select("*", group).drop("mine", "theirs")
+    need = tables.write(both.groupBy("g").applyInArrow(needed, f"{TILE}, {FACTS}, g long"), "need")
+    whole = need.join(sets, ["node", "set_a"])
+    links = tables.write(whole.groupBy("g").applyInArrow(linking, "u long, v long").distinct(), "links")
+    tables.drop(named, need)
+    return links
+
+
+def linked(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    bits: int = SKETCH_BITS,
+    seed: int = SEED,
+) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    percent = round(100 * similarity)
+    percent, tables = round(100 * similarity), Tables(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(signatures(slim, words, bands, rows, bits, seed))
+    signed = tables.write(signatures(slim, words, bands, rows, bits, seed), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = cut(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"), F.first("n_shingles").alias("n_shingles")))
-    sketches = nodes.select("node", "sketch", "folded", "n_shingles")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = cut(banded.join(buckets, "band"))  # only members that are not alone
+    kept = [F.first(c).alias(c) for c in ("bands", "sketch", "folded", "n_shingles")]
+    nodes = tables.write(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), *kept), "nodes")
+    held = buckets(nodes, tables)
+    wanted = tables.write(held.select("node").distinct(), "wanted")
+    tags = F.transform("bands", lambda x: x.bitwiseAND(F.lit(TAG)).cast("int")).alias("tags")
+    facts = among(nodes, "node", wanted, "left_semi").select("node", "set_a", "sketch", tags, "folded", "n_shingles")
+    sketches = tables.write(facts, "sketches")
     # The full sets of every node that is in any bucket with another.
-    wanted = held.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(shingle_sets(slim.join(wanted, "doc_id", "left_semi"), words))
-    stars = held.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    links = cut(confirmed(alike(stars, sketches, similarity, bits), sets, percent))
-    found = cut(components(links))
-    tested = stars
-    for tries in (FIRST_TRIES, None):
-        named = held.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
-        members = named.join(open_, "band", "left_semi").join(nodes.select("node", "bands", "sketch", "folded", "n_shingles"), "node").select("band", "n", "node", "component", "bands", "sketch", "folded", "n_shingles")
-        pairs = cut(cross_pairs(members, similarity, bits, tries).join(tested, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            if tries is None:
-                break
-            continue
-        more = cut(confirmed(pairs, sets, percent))
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = cut(components(links))
-    final = nodes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    texts = among(slim, "doc_id", wanted.withColumnRenamed("node", "doc_id"), "left_semi")
+    sets = tables.write(shingle_sets(texts, words), "sets")
+    stars = held.where("node <> least").groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.max("n").alias("n"))
+    stars = tables.write(stars, "stars")
+    likeliest = F.max_by(F.struct("v", "tile", "weight"), F.struct("margin", -F.col("v"))).alias("best")
+    best = alike(stars, sketches, similarity, bits).groupBy("u").agg(likeliest).select("u", "best.*")
+    best = tables.write(best, "pairs")
+    links = tables.write(confirmed(best, sets, percent), "links")
+    found = components(links, tables)
+    tables.drop(stars, best, links)
+    more = cross_links(held, found, sketches, sets, tables, similarity, bits)
+    if not more.isEmpty():
+        before = found
+        known = before.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(known.unionByName(more), tables)
+        tables.drop(before)
+    tables.drop(more, held, wanted, sketches, sets)
+    named = nodes.select("set_a", "set_b", "node").join(found, "node", "left")
+    final = named.select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(final, ["set_a", "set_b"], "left")
-    by_row = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return by_row
+    return out.select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    )
 
 
 def dedup_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose document is the smallest of its component."""
-    found = linked(docs, **parameters).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__lost"), "left_anti")
+    lost = linked(docs, **parameters).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    lost = Tables(docs.sparkSession).write(lost, "lost")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return among(whole, "doc_id", lost, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

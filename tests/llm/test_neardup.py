@@ -54,7 +54,8 @@ def test_against_brute_force(docs_of):
 
 def test_small_blocks_lose_nothing(docs_of, monkeypatch):
     # One chain of drifting copies: neighbours are alike, the ends are not, and buckets span several blocks.
-    monkeypatch.setattr(N, "BLOCK", 8)
+    for name, size in (("ASKING", 8), ("MEMBERS", 16), ("STAR", 4), ("TILE_SHINGLES", 500)):
+        monkeypatch.setattr(N, name, size)
     r = random.Random(5)
     text, rows = [f"w{i}" for i in range(150)], []
     for doc in range(80):
@@ -69,6 +70,8 @@ def test_null_ids_repeats_and_names(docs_of):
     docs = docs_of([(None, same), (5, same), (5, same), (8, same), (9, "other words entirely here now")]).withColumns({c: F.lit(1) for c in ("node", "band", "set_a", "u", "v", "n")})
     got = sorted((tuple(r) for r in N.linked(docs).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(None, None), (5, 5), (5, 5), (8, 5), (9, 9)], key=str)
+    twice = docs_of([(1, same), (1, "six other words that are here alone"), (2, "six other words that are here alone"), (3, same)])
+    assert sorted(tuple(r) for r in N.linked(twice).select("doc_id", "component_id").collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
     kept = N.dedup_documents(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, 5, 5, 9], key=str)
