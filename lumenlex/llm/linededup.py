@@ -1,10 +1,12 @@
 """Line dedup: every line that many documents share stays in one of them only.
 
-Keys of lines are hashed to 128 bits, the hashes are range-partitioned and sorted by hash, then by document from the
-largest id down, then by position. The range key holds the document too, so a line that a third of all documents
-hold spreads over many ranges. A streaming aggregate over the sorted runs keeps the first document of each run and
-counts documents; one partial row for each hash and range then meets its like. What comes back is a bitmap of the
-dropped lines of each document, as its non-zero 64-bit words only; texts are rebuilt from it where they are wanted.
+Keys of lines are hashed to 128 bits and written once. The hashes are range-partitioned and sorted by hash, then by
+document from the largest id down, then by position; each range is streamed, the first document of a run keeps the
+line. A range is an equal slice of the hash space. Hashes that fill half a range or more, found in a sample of the
+hashes, stay out of the ranges: their documents are counted with pre-aggregation, and the few totals (at most two for
+each range) are broadcast back. The sample only decides which way a hash goes; both ways give the same lines. What
+comes back is a bitmap of the dropped lines of each document, as its non-zero 64-bit words only; texts are rebuilt
+from it where they are wanted.
 
 Defined results: a NULL or empty text is one empty line, and is kept. Rows that share a doc_id are one document when
 documents are counted, and each row keeps its own lines. A NULL doc_id counts as one document below all others. Keys
@@ -15,12 +17,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumenlex.shared import cut
+from lumenlex.shared import Tables
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Sampled hashes for each range, and how many of them make a hash hot.
+SAMPLED, HOT, SEED = 64, 32, 5
+RUN = ["h1", "h2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -36,24 +42,48 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, t (the text's hash), pos, h1, h2 of every line that is long enough."""
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    keyed = rows.select("doc_id", "t", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+
+
+def lost_lines(hashed: DataFrame, tables: Tables, min_docs: int) -> DataFrame:
+    """doc_id, t, pos of every line that goes."""
+    n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, SAMPLED * n / max(1, hashed.count()))
+    hot = tables.write(hashed.sample(share, SEED).groupBy(*RUN).count().where(F.col("count") >= HOT).select(*RUN), "hot")
+    by_doc = hashed.join(F.broadcast(hot), RUN).groupBy(*RUN, "doc_id").agg(F.lit(1).alias("one"))
+    totals = by_doc.groupBy(*RUN).agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    totals = tables.write(totals.where(F.col("n_docs") >= min_docs), "totals")
+    split = hashed.join(F.broadcast(totals), RUN)
+    # The slice of the hash space, by the top 31 bits.
+    ranged = F.shiftright(F.shiftrightunsigned("h1", 33) * n, 31).cast("int").alias("range")
+    rest = hashed.join(F.broadcast(hot), RUN, "left_anti").select("*", ranged)
+    down = F.col("doc_id").desc_nulls_last()
+    ranges = rest.repartitionById(n, F.col("range")).sortWithinPartitions("range", *RUN, down, "pos")
+    run = Window.partitionBy("range", *RUN)
+    at = run.orderBy(down, "pos")
+    first = F.row_number().over(at) == 1
+    new = (first | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(at))).cast("int")
+    streamed = ranges.select("*", F.first("doc_id").over(at).alias("keeper"), new.alias("new"))
+    streamed = streamed.withColumn("n_docs", F.sum("new").over(run)).where(F.col("n_docs") >= min_docs)
+    both = [x.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "t", "pos") for x in (streamed, split)]
+    return both[0].unionByName(both[1])
+
+
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row for each document that loses lines: doc_id, text_hash, n_dropped, words.
 
     words is the compressed bitmap: a map from the word number to a 64-bit word whose bit ``pos % 64`` is set for
     each dropped line ``pos``; all-zero words are left out.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keyed = rows.select("doc_id", "t", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
-    runs = cut(
-        hashed.repartitionByRange(n, "h1", "h2", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
-    )
-    once = runs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    shared = once.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = runs.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    bit = F.expr("shiftleft(1L, pos % 64)")
-    words = lost.groupBy("doc_id", "t", F.expr("pos div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    tables = Tables(docs.sparkSession)
+    lost = lost_lines(tables.write(hashed_lines(docs, min_chars), "lines"), tables, min_docs)
+    # One shuffle: both groupings below are of whole documents.
+    mine = lost.repartition("doc_id", "t")
+    words = mine.groupBy("doc_id", "t", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", F.col("t").alias("text_hash")).agg(
         F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"),
@@ -61,38 +91,40 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with __n_lines, __n_dropped and __kept, the text without its dropped lines (NULL text: empty)."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t"), F.col("n_dropped").alias("__dropped"), F.col("words").alias("__words"))
-    joined = docs.withColumn("__hash", text_hash(F.col("text"))).join(
-        marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left"
-    )
+    """row (a document's own columns), n_lines, n_dropped and kept, the text without its dropped lines (NULL: empty)."""
+    marks = bitmaps.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("n_dropped").alias("dropped"), "words")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (text_hash(F.col("row.text")) == F.col("hash"))
+    joined = rows.join(marks, same, "left").withColumn("lines", lines_of(F.col("row.text")))
     # The dense form for this one document: a word is then found by its index.
-    dense = F.transform(
-        F.sequence(F.lit(0), F.expr("(size(__lines) - 1) div 64")), lambda w: F.coalesce(F.try_element_at(F.col("__words"), w.cast("long")), F.lit(0).cast("long"))
-    )
-    lines = joined.withColumn("__lines", lines_of(F.col("text"))).withColumn("__dense", F.when(F.col("__words").isNotNull(), dense))
-    kept = F.expr("array_join(filter(__lines, (x, i) -> (shiftright(element_at(__dense, cast(i div 64 as int) + 1), cast(i % 64 as int)) & 1L) = 0L), '\n')")
-    return (
-        lines.withColumn("__n_lines", F.size("__lines").cast("long"))
-        .withColumn("__n_dropped", F.coalesce("__dropped", F.lit(0)).cast("long"))
-        .withColumn("__kept", F.when(F.col("__words").isNotNull(), kept).otherwise(F.coalesce("text", F.lit(""))))
-        .drop("__id", "__t", "__dropped", "__words", "__hash", "__lines", "__dense")
+    numbers = F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 64"))
+    dense = F.transform(numbers, lambda w: F.coalesce(F.try_element_at(F.col("words"), w.cast("long")), F.lit(0).cast("long")))
+    marked = joined.withColumn("dense", F.when(F.col("words").isNotNull(), dense))
+    stays = "(shiftright(element_at(dense, cast(i div 64 as int) + 1), cast(i % 64 as int)) & 1L) = 0L"
+    kept = F.expr(f"array_join(filter(lines, (x, i) -> {stays}), '\n')")
+    return marked.select(
+        "row",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce("dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("words").isNotNull(), kept).otherwise(F.coalesce("row.text", F.lit(""))).alias("kept"),
     )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, with each text rebuilt from the lines it keeps and n_chars, if there, brought up to date."""
     out = apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
-    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: doc_id, n_lines, n_dropped, kept_sha256 for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_bitmaps(docs, drop_bitmaps(docs))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("__kept", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
 #: DuckDB: lines of documents with key, dropped.
