@@ -1,5 +1,8 @@
+import math
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenlex.llm import langid as L
@@ -33,12 +36,12 @@ def test_inputs_of_a_prediction(docs_of):
     assert plain == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(blind, model).collect()}
     # Held-out labels change nothing.
     lied = docs.withColumn("lang", F.when(L.held_out(F.col("doc_id")), "qq").otherwise(F.col("lang")))
-    assert L.learn(lied).langs == model.langs and (L.learn(lied).weights == model.weights).all()
+    assert L.learn(lied).langs == model.langs and (L.learn(lied).keys == model.keys).all()
 
 
 def test_edge_cases(docs_of):
     rows = [*corpus(), (900, None, "xx"), (901, "", None), (902, "12 34 !! ²", "xx"), (None, "bakotri mun", "qq"), (903, "ungver " * 50_000, None)]
-    docs = docs_of(rows).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit("mine"))
+    docs = docs_of(rows).withColumn("score", F.lit("mine")).withColumns({c: F.lit("mine") for c in ("lang_pred", "row", "found", "__found")})
     model = L.learn(docs)
     assert "qq" not in model.langs
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(docs.select("doc_id", "text"), model).collect()}
@@ -51,12 +54,60 @@ def test_edge_cases(docs_of):
 
 
 def test_backoff():
-    import numpy as np
-
-    known = ["abc", "3:abc", "2:ab", "1:a", "1:q"]
-    model = L.Model(["x", "y"], known, np.array([[9, 1], [5, 1], [4, 2], [3, 3], [1, 8]]))
-    assert model.rows_of("abc") == (0,)
-    assert model.rows_of("zabcz") == (1,)
-    assert model.rows_of("zabz") == (2,)
-    assert model.rows_of("qq") == (4, 4)
-    assert model.rows_of("zz") == ()
+    known = [(0, "abc", 9, 1), (3, "abc", 5, 1), (2, "ab", 4, 2), (1, "a", 3, 3), (1, "q", 1, 8)]
+    rows = [(L.key_of(kind, gram), kind, lang, n) for kind, gram, *counts in known for lang, n in enumerate(counts)]
+    key, kind, lang, n = (np.array(c, np.uint64) for c in zip(*rows))
+    model = L.Model(["x", "y"], key.view(np.int64), *(c.astype(np.int64) for c in (kind, lang, n)))
+    names = {L.key_of(kind, gram): (kind, gram) for kind, gram, *_ in known}
+    parts = lambda word: [names[int(model.keys[r : r + 1].view(np.uint64)[0])] for r in model.rows_of([word])[1]]
+    assert parts("abc") == [(0, "abc")]
+    assert parts("zabcz") == [(3, "abc")]
+    assert parts("zabz") == [(2, "ab")]
+    assert parts("zazq") == [(1, "a"), (1, "q")]
+    assert parts("zzz") == []
+
+
+def brute(rows, sample):
+    """lang and score of each text, by plain dictionaries over the whole sample."""
+    counts, totals = {}, {}
+    for text, lang in sample:
+        for word in L.WORD.findall(text.lower()):
+            for kind in range(L.LONGEST + 1):
+                for gram in L.grams(word, kind) if kind else [word]:
+                    by_lang = counts.setdefault((kind, gram), {})
+                    by_lang[lang] = by_lang.get(lang, 0) + 1
+                    totals[kind, lang] = totals.get((kind, lang), 0) + 1
+    langs = sorted({lang for _, lang in sample})
+    size = {k: sum(kind == k for kind, _ in counts) for k in range(L.LONGEST + 1)}
+    out = []
+    for text in rows:
+        scores = dict.fromkeys(langs, 0.0)
+        for word in L.WORD.findall(text.lower()):
+            found = [(0, word)] if (0, word) in counts else []
+            for k in range(L.LONGEST, 0, -1):
+                found = found or [(k, g) for g in L.grams(word, k) if (k, g) in counts]
+            for kind, gram in found:
+                for lang in langs:
+                    n, total = counts[kind, gram].get(lang, 0), totals.get((kind, lang), 0)
+                    scores[lang] += math.log((n + L.SMOOTHING) / (total + L.SMOOTHING * size[kind])) / max(1, kind)
+        top = max(scores.values())
+        best = min(lang for lang in langs if scores[lang] == top)
+        out.append((best, 1 / sum(math.exp(s - top) for s in scores.values())))
+    return out
+
+
+def test_against_brute_force(docs_of):
+    rows = corpus(120, seed=9)
+    docs = docs_of(rows + [(500, "zzz qqq " * 3, None), (501, "bakoesch ungtre", None)])
+    found = L.identify(docs, L.learn(docs)).orderBy("doc_id").collect()
+    learned = {r["doc_id"] for r in docs.where(~L.held_out(F.col("doc_id"))).collect()}
+    want = brute([r["text"] for r in found], [(text, lang) for doc, text, lang in rows if doc in learned])
+    assert [r["lang_pred"] for r in found] == [w[0] for w in want]
+    assert all(abs(r["score"] - w[1]) < 1e-4 for r, w in zip(found, want))
+
+
+def test_nothing_of_the_sample_is_dropped(docs_of):
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    model = L.learn(docs_of([(one, many, "xx"), (two, "solo", "yy")]))
+    assert (model.kind == 0).sum() == 600 + 1
