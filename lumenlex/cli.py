@@ -1,4 +1,4 @@
-"""Command line: ingest, gen-works-subset, build-posting, query."""
+"""Command line: ingest, show-shard, gen-works-subset, build-posting, query."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import tomllib
 from pyspark.sql import SparkSession
 
 from lumenlex.plans import ingest as jobs
+from lumenlex.sources import works as io
 
 
 def parser() -> argparse.ArgumentParser:
@@ -17,6 +18,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--entity", default="works", choices=sorted(jobs.Entity.registry))
     c.add_argument("--raw", required=True)
     c.add_argument("--compact", required=True)
+    c.add_argument("--manifest", help="JSON manifest whose record counts the shards must have")
+    c.add_argument("--report", help="folder of the log and report tables")
+    c.add_argument("--forced-fetch", action="store_true", help="work on shards again that are done")
+    c = commands.add_parser("show-shard", help="the first records of a shard")
+    c.add_argument("--path", required=True)
+    c.add_argument("--n", type=int, default=5)
     c = commands.add_parser("gen-works-subset", help="cut a subset by a profile's condition and check it")
     c.add_argument("--compact", required=True)
     c.add_argument("--subset", required=True)
@@ -51,7 +58,9 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"lumenlex {args.command}").getOrCreate()
     if args.command == "ingest":
-        print(jobs.ingest(spark, args.entity, args.raw, args.compact))
+        print(jobs.ingest(spark, args.entity, args.raw, args.compact, args.manifest, args.report, args.forced_fetch))
+    elif args.command == "show-shard":
+        io.show_shard(spark, args.path, args.n).show(args.n, truncate=False, vertical=True)
     elif args.command == "gen-works-subset":
         print(jobs.make_subset(spark, args.compact, args.subset, condition_of(args)))
     elif args.command == "build-posting":

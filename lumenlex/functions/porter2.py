@@ -1,6 +1,6 @@
 """The Porter2 (English Snowball) stemmer, written from its published description.
 
-Spark has no stemmer. ``stem_terms`` stems each distinct term once, in Arrow batches; row-at-a-time work over all
+Spark has no stemmer. ``stem_counts`` stems each distinct term once, in Arrow batches; row-at-a-time work over all
 tokens never happens.
 """
 
@@ -141,8 +141,18 @@ def stemmed(term: Column) -> Column:
     return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(term)
 
 
-def stem_terms(tokens: DataFrame, column: str = "term") -> DataFrame:
-    """tokens with column replaced by its stem; only the distinct terms pass through Python."""
-    known = tokens.select(column).distinct().select(F.col(column).alias("__raw"), stemmed(F.col(column)).alias("__stem"))
-    joined = tokens.join(known, F.col(column).eqNullSafe(F.col("__raw")))
-    return joined.withColumn(column, F.col("__stem")).select(*tokens.columns)
+#: Copies of the stem of each distinct term, over which the rows of a very common term spread.
+COPIES = 16
+
+
+def stem_counts(counted: DataFrame) -> DataFrame:
+    """term, mapped_id, tf, len by stem, from the same by term: counts are joined and added up, never single tokens.
+
+    Only the distinct terms pass through Python.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("salt")
+    known = counted.select("term").distinct().select("term", stemmed(F.col("term")).alias("stem")).select("term", "stem", salts)
+    salted = counted.withColumn("salt", F.pmod("mapped_id", F.lit(COPIES)).cast("int"))
+    joined = salted.join(known, ["term", "salt"])
+    added = joined.groupBy(F.col("stem").alias("term"), "mapped_id", "len").agg(F.sum("tf").cast("long").alias("tf"))
+    return added.select("term", "mapped_id", "tf", "len")

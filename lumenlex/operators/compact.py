@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ def is_truncated(items: Column) -> Column:
     return F.coalesce(F.size(items), F.lit(0)) > 3
 
 
-def compact_works(raw: DataFrame) -> DataFrame:
-    """The compact record of each raw one; one narrow projection, no shuffle."""
+def compact_works(raw: DataFrame, *extra: Column) -> DataFrame:
+    """The compact record of each raw one, and extra columns; one narrow projection, no shuffle."""
 
     def author(a: Column) -> Column:
         return F.struct(bare(a["author"]["id"]).alias("id"), a["author"]["display_name"].alias("display_name"), a["raw_author_name"].alias("raw_author_name"))
@@ -47,7 +49,7 @@ def compact_works(raw: DataFrame) -> DataFrame:
 
     source = F.col("primary_location.source")
     location = F.struct(bare(source["id"]).alias("id"), source["display_name"].alias("display_name"), source["type"].alias("type"), F.col("primary_location.is_oa").alias("is_oa"))
-    return raw.select(*RAW_COLUMNS).select(
+    return raw.select(
         bare(F.col("id")).alias("id"),
         bare(F.col("doi"), DOI_PREFIX).alias("doi"),
         "title",
@@ -63,6 +65,7 @@ def compact_works(raw: DataFrame) -> DataFrame:
         "cited_by_count",
         F.transform("topics", topic).alias("topics"),
         F.transform("keywords", keyword).alias("keywords"),
+        *extra,
     )
 
 
@@ -80,12 +83,37 @@ def raw_id(column: str) -> Column:
 
 
 def subset(works: DataFrame, condition: str) -> DataFrame:
-    """The works that a profile's SQL condition admits. Lists are indexed from 1 by try_element_at; [1] is rewritten."""
+    """The works that a profile's SQL condition admits; lists are indexed from 1, see profile."""
     return works.where(F.expr(profile(condition)))
 
 
-def profile(condition: str) -> str:
-    """A condition with ``name[n]`` counted from 1 and NULL beyond the list's end."""
-    import re
+_NAME = r"(?:`[^`]*`|[A-Za-z_]\w*)"
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.DOTALL)
+_PATH, _FIELD = re.compile(rf"{_NAME}(?:\.{_NAME})*"), re.compile(rf"(?:\.{_NAME})+")
+_INDEX = re.compile(r"\[\s*(-?\d+)\s*\]")
 
-    return re.sub(r"\b([A-Za-z_]\w*)\[(-?\d+)\]", r"try_element_at(\1, \2)", condition)
+
+def profile(condition: str) -> str:
+    """A condition with ``path[n]`` counted from 1, from the end if n is negative, and NULL for 0 or beyond the list.
+
+    Quoted strings stay as they are; a path may be dotted, and indexes and fields may follow each other.
+    """
+    out, at = [], 0
+    while at < len(condition):
+        if found := _QUOTED.match(condition, at):
+            out.append(found[0])
+        elif found := _PATH.match(condition, at):
+            path, end = found[0], found.end()
+            while index := _INDEX.match(condition, end):
+                path = f"try_element_at({path}, {index[1] if int(index[1]) else 'CAST(NULL AS INT)'})"
+                end = index.end()
+                if field := _FIELD.match(condition, end):
+                    path, end = path + field[0], field.end()
+            out.append(path)
+            at = end
+            continue
+        else:
+            found = re.compile(r"\w+|.", re.DOTALL).match(condition, at)
+            out.append(found[0])
+        at = found.end()
+    return "".join(out)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.functions import bm25, text
-from lumenlex.functions.porter2 import stem_terms
+from lumenlex.functions.porter2 import stem_counts
 from lumenlex.operators.dense import dense_ids
 from lumenlex.shared import cut
 
@@ -107,7 +107,10 @@ def build(docs: DataFrame, k1: float = bm25.K1, b: float = bm25.B, block_size: i
     mapped = listed(docs)
     tokens = tokenize(mapped)
     # Kept, as blocks, terms and the postings table all read it.
-    numbered = cut(dense_ids(count_postings(stem_terms(tokens) if stem else tokens), F.col("mapped_id"), within=("term",), name="_no"))
+    counted = count_postings(tokens)
+    if stem:
+        counted = stem_counts(cut(counted))
+    numbered = cut(dense_ids(counted, F.col("mapped_id"), within=("term",), name="_no"))
     lengths = doc_lengths(mapped)
     stats = corpus_stats(lengths)
     blocks, terms = block_bounds(numbered, stats, k1, b, block_size)

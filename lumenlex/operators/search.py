@@ -15,9 +15,12 @@ from pyspark.sql.window import Window
 
 from lumenlex.functions import bm25
 from lumenlex.operators.index import Index
+from lumenlex.shared import cut
 
 #: Query terms of a batch up to this many are sent to every task; more are shuffled.
-SMALL_BATCH, CHUNKS, DIGITS, SLACK = 200_000, 65_536, 6, 2e-6
+SMALL_BATCH, DIGITS, SLACK = 200_000, 6, 2e-6
+#: Ids of a chunk at least, chunks at most, chunks that give the first bound, blocks of a term that bounds itself.
+WIDTH, CHUNKS, SEEDS, FEW_BLOCKS = 4_096, 65_536, 4, 8
 
 
 def _checked(k: int) -> int:
@@ -51,53 +54,79 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 def search(index: Index, terms: list[str], k: int = 10, exhaustive: bool = True) -> DataFrame:
     """score, mapped_id of the k best documents."""
     stats, weights = index.stats.first(), _weights(index, terms)
+    spark = index.postings.sparkSession
     if not weights or not _checked(k):
-        return index.postings.sparkSession.createDataFrame([], "mapped_id long, score double")
-    kept = index.postings if exhaustive else _pruned(index, weights, k, stats)
-    return _top(_scores(kept, weights, stats), k)
+        return spark.createDataFrame([], "mapped_id long, score double")
+    if exhaustive:
+        return _top(_scores(index.postings, weights, stats), k)
+    one = spark.createDataFrame([(0, list(terms))], "qid int, terms array<string>")
+    return search_batch(index, one, k, exhaustive=False).orderBy("rank").select("mapped_id", "score")
 
 
-def _pruned(index: Index, weights: dict[str, tuple[float, int]], k: int, stats) -> DataFrame:
-    """The postings of those stretches of documents whose bounds reach the k-th score of some k documents.
+def _cells(index: Index, known: DataFrame, width: int, stats) -> DataFrame:
+    """term, chunk, ub: the most that the term can add to a document of that stretch of ``width`` ids.
 
-    The documents that give the first bound come from the rarest term's best blocks, so few are scored. The axis of
-    documents is cut into at most CHUNKS chunks; a chunk's bound is the sum over terms of the highest bound of a block
-    that touches it. Kept chunks are at most CHUNKS rows, hence the broadcast.
+    Terms of few postings give their own chunks and exact bounds, the others those of the blocks that touch a chunk.
     """
-    rarest = min(weights, key=lambda t: (weights[t][1], t))
-    if weights[rarest][1] < k:
-        return index.postings
-    size = stats["block_size"]
-    best = index.blocks.where(F.col("term") == rarest).orderBy(F.desc("block_ub"), "block_no").limit(-(-k // size) + 1)
-    ranges = F.broadcast(best.select("start_doc", "end_doc"))  # about k / block_size rows
-    seeds = index.postings.where(F.col("term") == rarest).join(ranges, F.col("mapped_id").between(F.col("start_doc"), F.col("end_doc"))).select("mapped_id").distinct()
-    scored = _scores(index.postings.where(F.col("term").isin(*weights)).join(F.broadcast(seeds), "mapped_id", "left_semi"), weights, stats)
-    top = _top(scored, k).select("score").collect()  # k rows
-    if len(top) < k:
-        return index.postings
-    bound = top[-1]["score"] - SLACK
-    width = max(1, -(-stats["n_docs"] // CHUNKS))
-    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, (w, _) in sorted(weights.items())])
-    known = index.terms.where(F.col("term").isin(*weights)).select("term", "idf")
-    touched = index.blocks.where(F.col("term").isin(*weights)).join(F.broadcast(known), "term")
-    # Bounds hold the idf once; repeats count by the weight. A term of idf 0 bounds nothing.
-    ub = F.when(F.col("idf") > 0, F.col("block_ub") / F.col("idf") * weight).otherwise(0.0)
-    chunked = touched.select("term", ub.alias("ub"), F.explode(F.sequence(F.floor(F.col("start_doc") / width), F.floor(F.col("end_doc") / width))).alias("chunk"))
-    chunks = chunked.groupBy("chunk", "term").agg(F.max("ub").alias("ub")).groupBy("chunk").agg(F.sum("ub").alias("ub")).where(F.col("ub") >= bound)
-    return index.postings.where(F.col("term").isin(*weights)).join(F.broadcast(chunks.select("chunk")), F.floor(F.col("mapped_id") / width) == F.col("chunk"), "left_semi")
+    wanted = known.select("term").distinct().join(index.terms.select("term", "df", "idf"), "term")
+    if wanted.count() <= SMALL_BATCH:
+        wanted = F.broadcast(wanted)
+    few = F.col("df") <= FEW_BLOCKS * stats["block_size"]
+    part = _part(F.col("tf"), F.col("len"), stats) * F.col("idf")
+    rare = index.postings.join(wanted.where(few), "term").select("term", _chunk("mapped_id", width).alias("chunk"), part.alias("ub"))
+    spans = F.explode(F.sequence(_chunk("start_doc", width), _chunk("end_doc", width))).alias("chunk")
+    common = index.blocks.join(wanted.where(~few), "term").select("term", spans, F.col("block_ub").alias("ub"))
+    return rare.unionByName(common).groupBy("term", "chunk").agg(F.greatest(F.max("ub"), F.lit(0.0)).alias("ub"))
+
+
+def _chunk(column: str, width: int) -> Column:
+    return F.floor(F.col(column) / width)
+
+
+def _kept(index: Index, known: DataFrame, most: int, stats) -> tuple[DataFrame, int]:
+    """qid, term, weight, chunk of those chunks of each query whose bound reaches its ``most``-th score in its best chunks.
+
+    The axis of documents is cut into chunks of at least WIDTH ids, at most CHUNKS of them. A query that finds fewer
+    documents in its SEEDS best chunks has no bound yet, and keeps all its chunks.
+    """
+    width = max(WIDTH, -(-stats["n_docs"] // CHUNKS))
+    cells = _cells(index, known, width, stats)
+    sums = cut(known.join(cells, "term").groupBy("qid", "chunk").agg(F.sum(F.col("ub") * F.col("repeats")).alias("ub")))
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ub"), "chunk"))
+    seeds = sums.withColumn("at", best).where(F.col("at") <= SEEDS).select("qid", "chunk")
+    scored = _batch_scores(index, known.join(seeds, "qid"), stats, width)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "mapped_id"))
+    bound = scored.withColumn("rank", rank).where(F.col("rank") == most).select("qid", F.col("score").alias("bound"))
+    reach = sums.join(bound, "qid", "left").where(F.col("bound").isNull() | (F.col("ub") >= F.col("bound") - SLACK))
+    return known.join(reach.select("qid", "chunk"), "qid"), width
+
+
+def _batch_scores(index: Index, asked: DataFrame, stats, width: int | None = None) -> DataFrame:
+    """qid, mapped_id, score from asked(qid, term, weight[, chunk]); with chunks, only of documents there."""
+    postings, on = index.postings, ["term"]
+    if width is not None:
+        postings, on = postings.withColumn("chunk", _chunk("mapped_id", width)), ["term", "chunk"]
+    part = F.col("weight") * _part(F.col("tf"), F.col("len"), stats)
+    return postings.join(asked, on).groupBy("qid", "mapped_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+
 
+def search_batch(index: Index, queries: DataFrame, k: int = 10, exhaustive: bool = True) -> DataFrame:
+    """qid, rank, score, mapped_id for queries(qid, terms[, k]); a query's own k wins over the common one.
 
-def search_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, rank, score, mapped_id for queries(qid, terms[, k]); a query's own k wins over the common one."""
+    Not exhaustive: chunks of documents that cannot reach a query's best are not scored for it; results are the same.
+    """
     stats, _ = index.stats.first(), _checked(k)
     own = "k" in queries.columns
-    asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("repeats"))
-    known = asked.join(index.terms.select("term", "idf"), "term").select("qid", "term", (F.col("idf") * F.col("repeats")).alias("weight"))
-    if known.count() <= SMALL_BATCH:
-        known = F.broadcast(known)
-    found = index.postings.join(known, "term")
-    scores = found.groupBy("qid", "mapped_id").agg(F.round(F.sum(F.col("weight") * _part(F.col("tf"), F.col("len"), stats)), DIGITS).alias("score"))
     most = queries.agg(F.max("k")).first()[0] or 0 if own else k
+    asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("repeats"))
+    known = asked.join(index.terms.select("term", "idf"), "term")
+    known = known.select("qid", "term", (F.col("idf") * F.col("repeats")).alias("weight"), "repeats")
+    if exhaustive or not most:
+        plain = known.drop("repeats")
+        scores = _batch_scores(index, F.broadcast(plain) if plain.count() <= SMALL_BATCH else plain, stats)
+    else:
+        kept, width = _kept(index, cut(known), most, stats)
+        scores = _batch_scores(index, kept.drop("repeats"), stats, width)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "mapped_id"))
     ranked = scores.withColumn("rank", rank).where(F.col("rank") <= most)  # a literal bound lets Spark cut each group early
     if own:

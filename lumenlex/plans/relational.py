@@ -115,7 +115,11 @@ def _manifest(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 
 def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.read_manifest(spark, _manifest(spark, sf_dir)[1])
+    """A manifest of nations as files, written and read back."""
+    path = scratch(spark, "manifest")
+    numbers = [F.col(c).cast("long").alias(to) for c, to in (("n_nationkey", "content_length"), ("n_regionkey", "record_count"))]
+    io.write_manifest(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), *numbers), path)
+    return io.read_manifest(spark, path)
 
 
 def missing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +128,13 @@ def missing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, bytes and mismatches of each shard of compact works."""
+    """Rows and mismatches of compact works by shard, one shard for each year of publication."""
     path = scratch(spark, "compact")
-    io.write_works(works(spark, sf_dir), path, 5_000)
-    return validate.shard_counts(io.read_shards(spark, path))
+    years = works(spark, sf_dir).withColumn("year", F.col("publication_year").cast("string"))
+    io.write_works(years, path, 5_000, by="year")
+    counts = validate.shard_counts(io.read_shards(spark, path))
+    year = F.regexp_extract("path", "year=([0-9]+)", 1).cast("int").alias("year")
+    return counts.groupBy(year).agg(F.sum("record_count").alias("record_count"), F.sum("link_mismatches").alias("link_mismatches"))
 
 
 def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +273,9 @@ ORACLES = {
     "scan_tsv": "SELECT item_id AS qid, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM benchmark",
     "scan_tsv_capped": "SELECT n_nationkey::BIGINT AS qid, n_name AS text FROM nation ORDER BY 1 LIMIT 10",
     "missing_shards": "SELECT 'gone.parquet' AS key",
+    "manifest_entries": "SELECT n_name AS key, n_nationkey::BIGINT AS content_length, n_regionkey::BIGINT AS record_count FROM nation",
+    "shard_counts": f"""{_WORKS} SELECT publication_year::INTEGER AS year, count(*) AS record_count, count(*) FILTER (WHERE stated <> len(x)) AS link_mismatches
+  FROM w GROUP BY publication_year""",
     "compact_works": f"""{_WORKS} SELECT id, doi, title, {_list('a', "'A' || y.s")} AS authors, {_list('a', "'raw ' || y.s")} AS raw_names, truncated AS authorships_truncated, language, location, location_oa,
   {_list('x', "'W' || y.p")} AS refs, {_list('x', "'T' || y.p")} AS topic_ids, {_list('x', 'y.r')} AS subfields, {_list('x', 'y.t')} AS fields, {_list('x', 'y.n::VARCHAR')} AS domains,
   {_list('x[1:2]', "'K' || y.s")} AS keyword_ids, publication_year::INTEGER AS publication_year, publication_date FROM w""",

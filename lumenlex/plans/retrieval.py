@@ -95,15 +95,16 @@ def run_marco(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.decoded(i, search.search_batch(i, asked(spark, sf_dir), 5)).select("qid", F.col("raw_id").alias("pid"), "rank")
 
 
+def bm25_batch_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_batch(index_of(spark, sf_dir), asked(spark, sf_dir), 10, exhaustive=False)
+    return rounded(found).select("qid", "rank", "mapped_id", "score")
+
+
 def rank_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pruned against exhaustive search for four query sets of one to four terms."""
-    i = index_of(spark, sf_dir)
-    runs = {True: [], False: []}
-    for qid, terms in enumerate((TERMS, TERMS[:1], TERMS[1:3], ("the", *TERMS[2:]))):
-        for exhaustive, parts in runs.items():
-            found = search.search(i, list(terms), 20, exhaustive)
-            parts.append(found.select(F.lit(qid).alias("qid"), F.row_number().over(Window.orderBy(F.desc("score"), "mapped_id")).alias("rank"), "score", "mapped_id"))
-    return evaluate.safety_summary(evaluate.rank_safety(querysets.union_all(runs[False]), querysets.union_all(runs[True])))
+    """Pruned against exhaustive search at k = 1000: the benchmark's passages as queries."""
+    i, queries = index_of(spark, sf_dir), asked(spark, sf_dir)
+    runs = [search.search_batch(i, queries, 1000, exhaustive) for exhaustive in (False, True)]
+    return evaluate.safety_summary(evaluate.rank_safety(*runs))
 
 
 def retrieval_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +123,12 @@ def retrieval_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return ix.map_ids(docs, "doc_id")
 
 
 def id_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = scratch(spark, "lookup")
     ix.map_ids(docs, "doc_id").write.mode("overwrite").parquet(path)
     lookup = spark.read.parquet(path)
@@ -212,7 +213,7 @@ def bm25_topk_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__ if f is not stats else "corpus_stats": f
     for f in (
-        bm25_topk, bm25_topk_pruned, bm25_topk_raw, bm25_unknown_term, bm25_duplicate_term, bm25_batch, bm25_batch_own_k, bm25_scores, bm25_saturation,
+        bm25_topk, bm25_topk_pruned, bm25_topk_raw, bm25_unknown_term, bm25_duplicate_term, bm25_batch, bm25_batch_pruned, bm25_batch_own_k, bm25_scores, bm25_saturation,
         run_trec, run_marco, rank_safety, retrieval_effectiveness, dense_id, id_roundtrip, doc_len, stats, postings, term_df, term_ub, block_meta, posting_deltas,
         df_band_top, df_band_bottom, df_band_skewed, df_cumsum, df_percentiles, query_set_uniform, query_set_weighted, stemmed_vocabulary, bm25_topk_stemmed,
     )
@@ -256,12 +257,13 @@ ORACLES = {
     "bm25_saturation": _with(f"SELECT term, mapped_id, round(sat, 6) AS saturation FROM parts WHERE term IN ({_IN})"),
     "run_trec": _with("SELECT qid, 'Q0' AS q0, raw_id AS doc_id, rank::INTEGER AS rank, round(score, 6) AS score, 'bm25' AS tag FROM run JOIN mapped USING (mapped_id) WHERE rank <= 5"),
     "run_marco": _with("SELECT qid, raw_id AS pid, rank::INTEGER AS rank FROM run JOIN mapped USING (mapped_id) WHERE rank <= 5"),
-    "rank_safety": "SELECT 4 AS queries, 4 AS rank_matches, 0 AS ids_missing, 0 AS ids_extra, 4 AS score_ranges_equal",
+    "bm25_batch_pruned": _with("SELECT qid, rank::INTEGER AS rank, mapped_id, round(score, 6) AS score FROM run WHERE rank <= 10"),
+    "rank_safety": _with("SELECT count(DISTINCT qid) AS queries, count(DISTINCT qid) AS rank_matches, 0 AS ids_missing, 0 AS ids_extra, count(DISTINCT qid) AS score_ranges_equal FROM run"),
     "retrieval_effectiveness": _with("""SELECT count(*) AS queries, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 6) AS mrr, round(avg(hits / n::DOUBLE), 6) AS recall FROM (
   SELECT b.item_id, count(*) AS n, min(r.rank) AS first, count(r.rank) FILTER (WHERE r.rank <= 100) AS hits FROM benchmark b JOIN mapped m ON contains(m.text, b.text)
   LEFT JOIN (SELECT * FROM run WHERE rank <= 100) r ON r.qid = b.item_id AND r.mapped_id = m.mapped_id GROUP BY b.item_id)"""),
-    "dense_id": "SELECT doc_id AS raw_id, row_number() OVER (ORDER BY doc_id) - 1 AS mapped_id FROM documents WHERE lang = 'en'",
-    "id_roundtrip": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS mapped_id, doc_id AS raw_id, n_chars FROM documents WHERE lang = 'en'",
+    "dense_id": "SELECT doc_id AS raw_id, row_number() OVER (ORDER BY doc_id) - 1 AS mapped_id FROM documents",
+    "id_roundtrip": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS mapped_id, doc_id AS raw_id, n_chars FROM documents",
     "doc_len": _with("SELECT m.mapped_id, coalesce(l.len, 0) AS len FROM mapped m LEFT JOIN lens l USING (mapped_id)"),
     "corpus_stats": _with("SELECT n_docs, total_docs, total_tokens, round(avgdl, 6) AS avgdl FROM s"),
     "postings": _with("SELECT term, mapped_id, tf FROM postings"),

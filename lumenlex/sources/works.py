@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the bucket prefix that a manifest's urls carry.
@@ -60,9 +60,23 @@ def read_queries(spark: SparkSession, path: str, most: int | None = None) -> Dat
     return queries if most is None else queries.orderBy("qid").limit(most)
 
 
-def write_works(works: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
-    """zstd Parquet with at most rows_per_file rows a file and about four row groups."""
-    works.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+def write_works(works: DataFrame, path: str, rows_per_file: int = 2_000_000, by: str | None = None) -> int:
+    """zstd Parquet with at most rows_per_file rows a file and a quarter of that a row group; returns the rows written.
+
+    by: a column whose values become folders; only the folders of values that occur are replaced.
+    """
+    seen = Observation()
+    out = works.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd")
+    out = out.option("maxRecordsPerFile", rows_per_file).option("parquet.block.row.count.limit", max(1, rows_per_file // 4))
+    if by is not None:
+        out = out.option("partitionOverwriteMode", "dynamic").partitionBy(by)
+    out.parquet(path)
+    return seen.get["n"]
+
+
+def show_shard(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The first n records of one shard."""
+    return spark.read.parquet(path).limit(n)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

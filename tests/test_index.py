@@ -70,15 +70,20 @@ def test_empty_documents_keep_their_ids(spark, tmp_path):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_pruned_equals_exhaustive(spark, seed):
+def test_pruned_equals_exhaustive(spark, seed, monkeypatch):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(12)]
     texts = [" ".join(r.choices(words, weights=range(1, 13), k=r.choice([0, 1, 3, 8, 20]))) for _ in range(120)]
     i = build(spark, texts, block_size=r.choice([1, 3, 8]))
     i = ix.Index(**{t: getattr(i, t).cache() for t in ix.TABLES})
+    monkeypatch.setattr(search, "WIDTH", r.choice([1, 5]))
+    monkeypatch.setattr(search, "FEW_BLOCKS", r.choice([0, 2]))
+    asked = [(q, r.choices(words, k=r.choice([1, 3, 10]))) for q in range(8)]
+    queries = spark.createDataFrame(asked, "qid int, terms array<string>")
     for k in (1, 7):
-        terms = r.choices(words, k=3)
-        assert search.search(i, terms, k).collect() == search.search(i, terms, k, exhaustive=False).collect()
+        runs = [sorted(map(tuple, search.search_batch(i, queries, k, exhaustive).collect())) for exhaustive in (True, False)]
+        assert runs[0] == runs[1]
+    assert search.search(i, asked[0][1], 5).collect() == search.search(i, asked[0][1], 5, exhaustive=False).collect()
 
 
 def test_batch_equals_singles(spark):

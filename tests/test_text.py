@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlex.functions import bm25, text
-from lumenlex.functions.porter2 import stem, stem_terms
+from lumenlex.functions.porter2 import stem, stem_counts
 
 GOLDENS = {
     "The naïve Test": ["na", "ve", "test"],
@@ -64,6 +64,7 @@ def test_stems():
     assert {w: stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
 
 
-def test_stem_terms_keeps_rows(spark):
-    df = spark.createDataFrame([(1, "running"), (1, "running"), (2, None), (3, "cats")], "d int, term string")
-    assert sorted(map(tuple, stem_terms(df).collect()), key=str) == sorted([(1, "run"), (1, "run"), (2, None), (3, "cat")], key=str)
+def test_stem_counts_adds_up(spark):
+    counts = [("running", 1, 2, 5), ("run", 1, 1, 5), ("runs", 17, 1, 1), ("cats", 3, 1, 1)]
+    df = spark.createDataFrame(counts, "term string, mapped_id long, tf long, len long")
+    assert sorted(map(tuple, stem_counts(df).collect())) == [("cat", 3, 1, 1), ("run", 1, 3, 5), ("run", 17, 1, 1)]

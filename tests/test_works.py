@@ -29,6 +29,20 @@ def test_profiles(spark):
     assert compact.subset(works, "language = 'en'").count() == 3
 
 
+def test_profile_text():
+    element = "try_element_at({}, {})".format
+    assert compact.profile("title = 'a[1]' AND x[2] > 1") == f"title = 'a[1]' AND {element('x', 2)} > 1"
+    assert compact.profile("loc.tags[1] = 'it''s [0]'") == f"{element('loc.tags', 1)} = 'it''s [0]'"
+    assert compact.profile("a[1].b[-1].c IS NULL") == f"{element(element('a', 1) + '.b', -1)}.c IS NULL"
+    assert compact.profile('`odd name`[0] <> 1.5e3') == f"{element('`odd name`', 'CAST(NULL AS INT)')} <> 1.5e3"
+
+
+def test_index_zero_is_null(spark):
+    works = spark.createDataFrame([(1, ["a"], (["t"],)), (2, [], ([],))], "id int, topics array<string>, loc struct<tags: array<string>>")
+    assert compact.subset(works, "topics[0] = 'a'").count() == 0 and compact.subset(works, "topics[0] IS NULL").count() == 2
+    assert [r["id"] for r in compact.subset(works, "loc.tags[1] = 't'").collect()] == [1]
+
+
 def test_raw_ids(spark):
     rows = spark.createDataFrame([("W12",), ("12",), ("x",), (None,)], "id string").select(compact.raw_id("id").alias("n")).collect()
     assert [r["n"] for r in rows] == [12, 12, None, None]
@@ -69,6 +83,47 @@ def test_bad_links_are_reported(spark, tmp_path):
     assert ingest.ingest(spark, "works", raw, packed).bad_shards
 
 
+def test_logs_resume_and_reports(spark, tmp_path):
+    raw, packed, report = (str(tmp_path / n) for n in ("raw", "compact", "report"))
+    good = raw_works(spark, SF).where("substring(id, 23) % 7 > 0").cache()
+    good.where("id < 'https://openalex.org/W5'").coalesce(1).write.parquet(f"{raw}/updated=1")
+    files = io.list_files(spark, raw).select("key", "content_length", F.lit(good.where("id < 'https://openalex.org/W5'").count()).alias("record_count"))
+    io.write_manifest(files, str(tmp_path / "manifest"))
+    first = ingest.ingest(spark, "works", raw, packed, str(tmp_path / "manifest"), report)
+    assert (first.shards, first.skipped_shards, first.bad_shards) == (1, 0, []) and 0 < first.size_reduction < 1000
+    # A second shard that the manifest does not state is bad, and is worked on again each time; the first is not.
+    good.where("id >= 'https://openalex.org/W5'").coalesce(1).write.parquet(f"{raw}/updated=2")
+    for _ in range(2):
+        second = ingest.ingest(spark, "works", raw, packed, str(tmp_path / "manifest"), report)
+        assert (second.shards, second.skipped_shards, len(second.bad_shards)) == (2, 1, 1) and second.duplicate_ids == -1
+    assert second.records == good.count()
+    third = ingest.ingest(spark, "works", raw, packed, None, report)
+    assert third.bad_shards == [] and third.dangling_references == spark.read.parquet(f"{report}/dangling_references").count() > 0
+    assert spark.read.parquet(f"{report}/extraction_log").count() == 4
+    row = spark.read.parquet(f"{report}/integrity_report").first()
+    assert (row["records"], row["dangling_references"]) == (third.records, third.dangling_references)
+    assert io.read_manifest(spark, f"{report}/compact_manifest").agg(F.sum("record_count")).first()[0] == third.records
+    assert ingest.ingest(spark, "works", raw, packed, None, report).skipped_shards == 2
+
+
+def test_many_bad_shards_raise(spark, tmp_path, monkeypatch):
+    raw, packed = str(tmp_path / "raw"), str(tmp_path / "compact")
+    raw_works(spark, SF).repartition(3).write.parquet(raw)
+    monkeypatch.setattr(ingest, "MOST_BAD_SHARDS", 2)
+    with pytest.raises(RuntimeError):
+        ingest.ingest(spark, "works", raw, packed)
+    assert spark.read.parquet(f"{packed}_report/extraction_log").where("NOT ok").count() == 3
+
+
+def test_row_groups_and_count(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    assert io.write_works(spark.range(1000).coalesce(1), str(tmp_path / "w"), 400) == 1000
+    sizes = sorted(f.num_rows for f in map(pq.read_metadata, (tmp_path / "w").glob("*.parquet")))
+    assert sizes == [200, 400, 400]
+    assert max(pq.read_metadata(f).num_row_groups for f in (tmp_path / "w").glob("*.parquet")) == 4
+
+
 def test_streaming_resumes(spark, tmp_path):
     raw, out, check = (str(tmp_path / n) for n in ("raw", "out", "check"))
     records = raw_works(spark, SF)
