@@ -8,13 +8,14 @@ stops where that exceeds the bound, which tightens on the way. Scores are exact
 
 Pivots are picked from a bounded sample (``SAMPLE`` vectors of each dimension); every vector is indexed.
 
-Defined results: a component x is floor(256 * x), held to 53 bits. Vectors that are NULL, empty or hold NULL or
+Defined results: a component x is floor(256 * x). Scores beyond 64 bits are held at their ends. Vectors that are NULL, empty or hold NULL or
 non-finite components take no part, nor do rows without vec_id. Rows that share a vec_id count once, the least vector
 stays. Vectors of other dimensions than the query's are no candidates. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,13 @@ from lumenlex.llm import vectors as V
 from lumenlex.shared import cut
 
 SAMPLE, PIVOTS, BLOCK, QUERY_BLOCK, K = 2048, 32, 1024, 256, 5
-EXACT = float(1 << 53)
+EXACT, MOST, LONG = float(1 << 53), sys.float_info.max, (1 << 63) - 1
 
 
 def scaled(v: Column) -> Column:
-    return F.transform(v, lambda x: F.greatest(F.least(F.floor(x * 256.0).cast("double"), F.lit(EXACT)), F.lit(-EXACT)))
+    """floor(256 * x); a double beyond 53 bits has no fraction to drop, and none is infinite after it."""
+    times = lambda x: F.least(F.greatest(x * 256.0, F.lit(-MOST)), F.lit(MOST))
+    return F.transform(v, lambda x: F.when(F.abs(times(x)) < EXACT, F.floor(times(x)).cast("double")).otherwise(times(x)))
 
 
 def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
@@ -48,10 +51,14 @@ def lifted(m: np.ndarray, most: float) -> np.ndarray:
 
 
 def inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles where these are exact, else in 64-bit integers."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < EXACT:
+    """Integer inner products: in doubles where these are exact, else in 64-bit or in unbounded integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    if most < EXACT:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if most < LONG / 2:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(q).astype(object) @ whole(c).astype(object).T, -LONG, LONG).astype(np.int64)
 
 
 def indexed(rows: DataFrame, pivots: dict[int, np.ndarray], most: dict[int, float]) -> DataFrame:
@@ -94,7 +101,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     asking = cut(V.packed(in_order(placed.where(is_query)), ["dim"], QUERY_BLOCK, reach, "near array<double>, far array<double>, home int"))
     near, far = (F.element_at(c, F.col("pivot") + 1) for c in ("q_near", "q_far"))
     # The least distance that any query of the block can have to any vector of the annulus.
-    bound = F.greatest(F.lit(0.0), near - F.col("most"), F.col("least") - far)
+    bound = F.nanvl(F.greatest(F.lit(0.0), near - F.col("most"), F.col("least") - far), F.lit(0.0))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, at = None, None
@@ -117,8 +124,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 least = np.maximum(0, np.maximum(d - r["most"], r["least"] - d))
                 # -key is the score; a better or equal one lies within this distance.
                 worst = np.array([np.inf if (w := best.worst(i)) is None else float(w) for i in range(len(ids))])
-                within = np.sqrt(np.maximum(square + 2 * np.minimum(worst, start), 0))
-                todo = np.flatnonzero(least <= within * (1 + 1e-9) + 1e-6)
+                within = np.sqrt(np.maximum(square + 2 * np.minimum(worst, start) + 1e-12 * square, 0))
+                todo = np.flatnonzero(~(least > within * (1 + 1e-9) + 1e-6))  # a distance that overflows excludes nothing
                 if not len(todo):
                     continue
                 cand = np.frombuffer(r["ids"], "<i8")
@@ -162,7 +169,7 @@ def _widest(begun: DataFrame, most: dict[int, float]) -> DataFrame:
             out = []
             for raw, start in zip(b.column("vecs").to_pylist(), b.column("start").to_pylist(), strict=True):
                 q = np.frombuffer(raw, "<f8").reshape(len(start), -1)
-                reach = (q * q).sum(1) + most[q.shape[1]] + 2 * np.array(start)
+                reach = ((q * q).sum(1) + most[q.shape[1]]) * (1 + 1e-12) + 2 * np.array(start)
                 out.append(float(np.sqrt(np.maximum(reach, 0)).max()) * (1 + 1e-9) + 1e-6)
             yield b.append_column("within", pa.array(out, pa.float64()))
 

@@ -32,8 +32,14 @@ def usable(vectors: DataFrame, extra: Column | None = None) -> DataFrame:
 
 def sample(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     """For each dimension, up to n vectors by the hash of the id: a bounded sample to fit an index on."""
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    picked = rows.withColumn("rank", rank).where(F.col("rank") <= n).orderBy("dim", "rank").select("dim", "v").collect()
+    order = F.xxhash64("vec_id")
+    # Hashes are uniform: about 4 n vectors of a dimension lie below its limit, and only these are ranked.
+    near = F.lit(False)
+    for dim, count in rows.groupBy("dim").count().collect():
+        limit = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, 4 * n / count) * (1 << 64)))
+        near = near | ((F.col("dim") == dim) & (order <= limit))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(order, "vec_id"))
+    picked = rows.where(near).withColumn("rank", rank).where(F.col("rank") <= n).orderBy("dim", "rank").select("dim", "v").collect()
     return {dim: np.array([r["v"] for r in picked if r["dim"] == dim]) for dim in {r["dim"] for r in picked}}
 
 

@@ -1,3 +1,6 @@
+import math
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +30,20 @@ def usable(rows, zero):
     return {i: v for i, v in ok.items() if zero or v.any()}
 
 
+def test_components_beyond_53_bits(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=3) * 10.0 ** int(r.choice([0, 9, 16]))]) for i in range(80)] + [(900, [1e300, -1e308, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in exactknn.search(vectors, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    big = lambda x: math.floor(256 * x) if abs(x) < 1e300 else int(max(-sys.float_info.max, min(sys.float_info.max, 256 * x)))
+    whole, want = {i: [big(x) for x in v] for i, v in rows}, []
+    for q in (i for i, _ in rows if i % 50 == 0):
+        held = lambda s: max(-exactknn.LONG, min(exactknn.LONG, s))
+        scores = sorted((-held(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == want
+
+
 @pytest.mark.parametrize("copies", [0, 400])
 def test_exact_topk(spark, copies):
     rows = points() + ODD + [(20_000 + i, points()[3][1]) for i in range(copies)]
