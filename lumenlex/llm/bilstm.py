@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -24,9 +26,9 @@ class BiLstm:
         self.p["skip"] = np.zeros(features)
         self.p["bias"] = np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, start: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
         n, (steps, batch) = self.hidden, mask.shape
-        h, c = np.zeros((batch, n)), np.zeros((batch, n))
+        h, c = start or (np.zeros((batch, n)), np.zeros((batch, n)))
         inputs, states, kept = x @ self.p[f"x{d}"] + self.p[f"c{d}"], np.zeros((steps, batch, n)), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = inputs[t] + h @ self.p[f"h{d}"]
@@ -39,12 +41,29 @@ class BiLstm:
                 kept.append((t, h, c, i, f, o, g, squashed, on))
             c, h = np.where(on, new, c), np.where(on, o * squashed, h)
             states[t] = h
-        return states, kept
+        return states, kept, (h, c)
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
         return sigmoid(both @ self.p["out"] + x @ self.p["skip"] + self.p["bias"])
 
+    def predict_long(self, part: Callable[[int, int], np.ndarray], steps: int, size: int) -> np.ndarray:
+        """As predict for one sequence, whose features part(low, high) gives, in pieces of ``size`` steps.
+
+        The state is carried from piece to piece in both directions; what is kept of a step is one number.
+        """
+        score, n = np.zeros(steps), self.hidden
+        pieces = [(low, min(low + size, steps)) for low in range(0, steps, size)]
+        for k, d in enumerate("fb"):
+            state = None
+            for low, high in pieces if d == "f" else reversed(pieces):
+                x = part(low, high)[:, None].astype(float)
+                states, _, state = self._run(x, np.ones((high - low, 1), bool), d, False, state)
+                score[low:high] += states[:, 0] @ self.p["out"][k * n : (k + 1) * n]
+                if d == "f":
+                    score[low:high] += x[:, 0] @ self.p["skip"] + self.p["bias"]
+        return sigmoid(score)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         n, runs = self.hidden, {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)

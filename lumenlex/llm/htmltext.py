@@ -4,7 +4,8 @@ A page becomes its sequence of leaf blocks. A block's vector holds its tag path
 nearer ancestors apart), the hashed words of its whole text, and a few figures such as length and share of link text.
 A bidirectional LSTM in numpy reads the whole sequence and labels each block as main text or not. It is trained on
 pages that a seeded generator lays out in many ways, with known labels; ``TRAINING_PAGES`` bounds that set. Training
-takes seconds on the driver, the weights have a fixed size, and labelling is a map over the rows.
+takes seconds on the driver, the weights have a fixed size, and labelling is a map over the rows. A page of more than
+``STEPS`` blocks is read in pieces, with the network's state carried from one to the next, and labelled the same.
 
 Defined results: NULL or empty html, or a page without main text, gives an empty text. Markup that is cut off or
 unclosed is read as far as it goes. Rows that repeat are extracted each for itself. Other columns stay as they are.
@@ -46,7 +47,9 @@ class _Slots(dict):
 _TAG, _NEAR, _WORD = _Slots(TAGS), _Slots(NEAR), _Slots(WORDS)
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(blocks: list[tuple[tuple[str, ...], str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each of these blocks of a page, which start at ``first`` of its ``total`` blocks."""
+    total = total or len(blocks)
     x = np.zeros((len(blocks), FEATURES), np.float32)
     before: dict[tuple[str, ...], np.ndarray] = {}
     for row, (path, text, linked) in enumerate(blocks):
@@ -64,7 +67,10 @@ def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         if n:
             x[row, TAGS + NEAR : -FIGURES] = np.bincount([_WORD[w] for w in words], minlength=WORDS) / n
         stops = text.count(".") + text.count(",")
-        x[row, -FIGURES:] = (min(n, 200) / 100, np.log1p(len(text)) / 8, linked, min(1, stops / (n + 1) * 4), text[-1:] in ".!?", "©" in text, row / len(blocks), len(path) / 10)
+        ends, place = text[-1:] in ".!?", (first + row) / total
+        x[row, -FIGURES:] = (
+            min(n, 200) / 100, np.log1p(len(text)) / 8, linked, min(1, stops / (n + 1) * 4), ends, "©" in text, place, len(path) / 10,
+        )
     return x
 
 
@@ -228,8 +234,13 @@ def main_texts(pages: list[str | None], model: BiLstm) -> list[str]:
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if blocks[i]), key=lambda i: len(blocks[i]))
     at = 0
+    while order and len(blocks[order[-1]]) > STEPS:  # a page alone is longer than a batch may be: piece by piece
+        i = order.pop()
+        part = lambda low, high, i=i: features(blocks[i][low:high], low, len(blocks[i]))
+        chance = model.predict_long(part, len(blocks[i]), STEPS)
+        out[i] = "\n\n".join(text for (_, text, _), p in zip(blocks[i], chance, strict=True) if p > THRESHOLD)
     while at < len(order):
-        # As many pages as keep the padded batch within STEPS steps, one at least.
+        # As many pages as keep the padded batch within STEPS steps.
         end = at + 1
         while end < len(order) and len(blocks[order[end]]) * (end + 1 - at) <= STEPS:
             end += 1

@@ -72,6 +72,19 @@ def test_a_page_reads_the_same_in_any_company():
     assert H.main_texts(pages, model) == [H.main_texts([p], model)[0] for p in pages]
 
 
+def test_a_long_page_in_pieces_reads_the_same(monkeypatch):
+    model = H.trained()
+    blocks = leaf_blocks(H.Pages(77).page()[0]) * 30
+    whole = model.predict(*H.padded([H.features(blocks)]))[:, 0]
+    for size in (1, 7, len(blocks) - 1, len(blocks)):
+        pieces = model.predict_long(lambda a, b: H.features(blocks[a:b], a, len(blocks)), len(blocks), size)
+        assert np.abs(pieces - whole).max() < 1e-9
+    pages = [H.Pages(seed).page()[0] for seed in range(5)]
+    want = H.main_texts(pages, model)
+    monkeypatch.setattr(H, "STEPS", 3)
+    assert H.main_texts(pages, model) == want
+
+
 @pytest.mark.parametrize("inner", [
     '<svg class="i"/>', "<math/>", "<svg>", "<object data=x>", "<noscript>", "<template>", "<select>", '<svg class="i"/><svg><title>icon</title><g><text>drawn</text></g></svg>',
     "<noscript>please enable</noscript>", "<select><option>one more</select>", "<object><p>no plugin</p></object>", "<svg><foreignObject><p>drawn</p></foreignObject></svg>",
