@@ -1,7 +1,7 @@
 """License scans: headers and licence files against templates, then inheritance down the directory tree.
 
-Each line of a text that speaks of a licence, alone and together with the lines after it, and each such sentence is a
-sparse TF-IDF vector; its cosine with the templates' vectors names the licence. Besides, wherever an anchor word of a
+Each line of a text, alone and together with the lines after it, and each sentence is a sparse TF-IDF vector, unless
+no licence's own word stands in it, without which none is named; its cosine with the templates' vectors names the licence. Besides, wherever an anchor word of a
 template of four words or more stands, the words around it, as many as the template has, are compared with that
 template: a notice is found anywhere in a line and across lines. Words that no template knows lengthen the vector, so
 a sentence that only mentions a licence scores low; a bare title such as "MIT License" counts as a line or sentence of
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from lumenlex.shared import cut
 
 MIN_SCORE, LINES_AFTER = 0.55, 8
-CUE = re.compile(r"licen[cs]|spdx|copying|redistribut|public\s+domain|creative\s+commons|permission\s+(?:is\s+hereby|to\s+use)|\bcc[ -](?:by|0)|\bcc0\b|\bgnu\b|\b[al]?gpl", re.IGNORECASE)
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|\Z)")
 #: Words of templates that a window is laid around, and the words of the shortest template that has windows.
 ANCHORS, SHORTEST = frozenset("license licensed spdx permission redistribute redistribution domain gnu creative".split()), 4
@@ -154,6 +153,9 @@ class Templates:
                 if w in ANCHORS and len(ws) >= SHORTEST:
                     self.at_anchor.setdefault(w, []).append((i, at, len(ws)))
         self.longest = max((len(ws) for _, ws in texts), default=0)
+        # No licence is named without one of its own words, so lines without any have nothing to compare.
+        own = sorted(set().union(*self.own)) if self.own else []
+        self.any_own = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, own)) + r")(?![a-z])" if own else r"(?!)")
 
     def unit(self, counts: Counter) -> dict[str, float]:
         weighed = {w: (1 + math.log(n)) * self.idf.get(w, self.unknown) for w, n in counts.items()}
@@ -195,15 +197,15 @@ class Templates:
 
     def scan(self, text: str | None, least: float = MIN_SCORE) -> tuple[str | None, float]:
         """The licence of a whole text and its cosine."""
-        if not text or not CUE.search(text):
+        text = plain(text) if text else ""
+        if not self.any_own.search(text):
             return None, 0.0
-        text = plain(text)
         lines, found, seen = text.split("\n"), (0.0, ""), set()
-        for i, line in enumerate(lines):
-            if not CUE.search(line):
-                continue
-            parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, LINES_AFTER)]
-            for part in parts + [m[0] for m in SENTENCE.finditer(line) if CUE.search(m[0])]:
+        holds = [self.any_own.search(line) is not None for line in lines]
+        for i in sorted({j for i, held in enumerate(holds) if held for j in range(max(0, i - LINES_AFTER + 1), i + 1)}):
+            parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, LINES_AFTER) if any(holds[i : i + n])]
+            sentences = [m[0] for m in SENTENCE.finditer(lines[i])] if holds[i] else []
+            for part in parts + sentences:
                 if part not in seen:
                     seen.add(part)
                     found = max(found, self.best(WORD.findall(part)), key=better)
