@@ -1,7 +1,8 @@
 """License scans: headers and licence files against templates, then inheritance down the directory tree.
 
 Each line of a text, alone and together with the lines after it, and each sentence is a sparse TF-IDF vector, unless
-no licence's own word stands in it, without which none is named; its cosine with the templates' vectors names the licence. Besides, wherever an anchor word of a
+no licence's own word stands in it, without which none is named, or its unknown words bound the cosine below what is
+wanted; its cosine with the templates' vectors names the licence. Besides, wherever an anchor word of a
 template of four words or more stands, the words around it, as many as the template has, are compared with that
 template: a notice is found anywhere in a line and across lines. Words that no template knows lengthen the vector, so
 a sentence that only mentions a licence scores low; a bare title such as "MIT License" counts as a line or sentence of
@@ -154,18 +155,36 @@ class Templates:
                     self.at_anchor.setdefault(w, []).append((i, at, len(ws)))
         self.longest = max((len(ws) for _, ws in texts), default=0)
         # No licence is named without one of its own words, so lines without any have nothing to compare.
-        own = sorted(set().union(*self.own)) if self.own else []
-        self.any_own = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, own)) + r")(?![a-z])" if own else r"(?!)")
+        some = lambda ws: re.compile(rf"(?<![a-z])(?:{'|'.join(map(re.escape, sorted(ws)))})(?![a-z])" if ws else r"(?!)")
+        self.any_own, self.any_anchor = some(set().union(*self.own)), some(set(self.at_anchor))
+
+    def weigh(self, ws: list[str]) -> tuple[float, float]:
+        """Bounds of the squared weights of a text that holds ws: of known words at most, of unknown ones at least.
+
+        A word that stands n times has the weight (1 + ln n) * idf, whose square is below 1.5 * n * idf * idf.
+        """
+        idf = self.idf
+        known = sum(1.5 * idf[w] * idf[w] for w in ws if w in idf)
+        return known, len(set(ws) - idf.keys()) * self.unknown * self.unknown
+
+    @staticmethod
+    def may_reach(known: float, unknown: float, least: float) -> bool:
+        """Whether a cosine of least is possible: known words make at most their share of the vector's length."""
+        return known * (1 - least * least) >= least * least * unknown * (1 - 1e-9)
 
     def unit(self, counts: Counter) -> dict[str, float]:
         weighed = {w: (1 + math.log(n)) * self.idf.get(w, self.unknown) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in weighed.values()))
         return {w: x / norm for w, x in weighed.items()}
 
-    def best(self, ws: list[str]) -> tuple[float, str]:
-        """The highest cosine of the templates whose own words stand in ws, and the licence."""
-        scores: dict[int, float] = {}
-        for w, x in self.unit(Counter(ws)).items():
+    def best(self, ws: list[str], least: float = 0.0) -> tuple[float, str]:
+        """The highest cosine of the templates whose own words stand in ws, and the licence; none if it can't reach least."""
+        counts, scores = Counter(ws), {}
+        common = counts.keys() & self.idf.keys()
+        known = sum(((1 + math.log(counts[w])) * self.idf[w]) ** 2 for w in common)
+        if not self.may_reach(known, (len(counts) - len(common)) * self.unknown * self.unknown, least):
+            return 0.0, ""
+        for w, x in self.unit(counts).items():
             for i, y in self.by_word.get(w, ()):
                 scores[i] = scores.get(i, 0.0) + x * y
         text = " ".join(ws)
@@ -202,17 +221,28 @@ class Templates:
             return None, 0.0
         lines, found, seen = text.split("\n"), (0.0, ""), set()
         holds = [self.any_own.search(line) is not None for line in lines]
+        weighed: dict[int, tuple[float, float]] = {}
         for i in sorted({j for i, held in enumerate(holds) if held for j in range(max(0, i - LINES_AFTER + 1), i + 1)}):
-            parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, LINES_AFTER) if any(holds[i : i + n])]
-            sentences = [m[0] for m in SENTENCE.finditer(lines[i])] if holds[i] else []
-            for part in parts + sentences:
-                if part not in seen:
-                    seen.add(part)
-                    found = max(found, self.best(WORD.findall(part)), key=better)
-        ws = WORD.findall(text)
-        found = max((found, *self.windows(ws)), key=better)
+            for j in range(i, min(i + LINES_AFTER, len(lines))):
+                if j not in weighed:
+                    weighed[j] = self.weigh(WORD.findall(lines[j]))
+            parts = []
+            for n in (1, 2, 4, LINES_AFTER):
+                held = range(i, min(i + n, len(lines)))
+                known, unknown = sum(weighed[j][0] for j in held), max(weighed[j][1] for j in held)
+                if any(holds[i : i + n]) and self.may_reach(known, unknown, least):
+                    parts.append(WORD.findall("\n".join(lines[i : i + n])))
+            sentences = [WORD.findall(m[0]) for m in SENTENCE.finditer(lines[i])] if holds[i] else []
+            for part in parts + [ws for ws in sentences if self.may_reach(*self.weigh(ws), least)]:
+                if (key := tuple(part)) not in seen:
+                    seen.add(key)
+                    found = max(found, self.best(part, least), key=better)
+        ws = []
+        if self.any_anchor.search(text):
+            ws = WORD.findall(text)
+            found = max((found, *self.windows(ws)), key=better)
         if found[1] in BSD:
-            found = found[0], clauses(" ".join(ws)) or found[1]
+            found = found[0], clauses(" ".join(ws or WORD.findall(text))) or found[1]
         return (found[1], found[0]) if found[0] >= least else (None, 0.0)
 
 

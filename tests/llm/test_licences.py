@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lumenlex.llm import licences as L
@@ -75,3 +77,34 @@ def test_near_equal_licences_are_told_apart():
     rest = "\nTHIS SOFTWARE IS PROVIDED AS IS AND ANY WARRANTIES ARE DISCLAIMED."
     for text, licence in ((CLAUSES + rest, "BSD-2-Clause"), (CLAUSES + THIRD + rest, "BSD-3-Clause")):
         assert t.scan(text)[0] == t.scan(text.replace("\n", " "))[0] == licence
+
+
+def test_bounds_lose_nothing():
+    """Every line window and sentence scored without any gate gives the same licence and cosine."""
+    templates, r = L.Templates(), random.Random(6)
+    filler = "mit general zero the a of und work use software free word".split() + [f"w{i}" for i in range(40)]
+    notices = [t for texts in L.TEMPLATES.values() for t in texts]
+
+    def plainly(text):
+        lines, found = L.plain(text).split("\n"), (0.0, "")
+        for i, line in enumerate(lines):
+            parts = ["\n".join(lines[i : i + n]) for n in (1, 2, 4, L.LINES_AFTER)] + [m[0] for m in L.SENTENCE.finditer(line)]
+            found = max([found, *(templates.best(L.WORD.findall(p)) for p in parts)], key=L.better)
+        ws = L.WORD.findall(L.plain(text))
+        found = max((found, *templates.windows(ws)), key=L.better)
+        if found[1] in L.BSD:
+            found = found[0], L.clauses(" ".join(ws)) or found[1]
+        return (found[1], found[0]) if found[0] >= L.MIN_SCORE else (None, 0.0)
+
+    named = 0
+    for _ in range(150):
+        words = r.choice(notices).split()
+        words = words[: r.randint(1, len(words))] if r.random() < 0.5 else words
+        text = [" ".join(r.choices(filler, k=r.randint(0, 12))) for _ in range(r.randint(0, 12))]
+        text.insert(r.randint(0, len(text)), " ".join(r.choices(filler, k=r.randint(0, 3)) + words))
+        got = templates.scan(r.choice(["\n", " "]).join(text) if r.random() < 0.7 else "\n".join(text).replace(" ", "\n"))
+        named += got[0] is not None
+    assert named > 30
+    for _ in range(150):
+        text = "\n".join(" ".join(r.choices(filler, k=r.randint(0, 12)) + r.choice(notices).split()[: r.randint(0, 40)]) for _ in range(r.randint(1, 6)))
+        assert templates.scan(text) == plainly(text)
