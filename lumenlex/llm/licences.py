@@ -262,14 +262,20 @@ def scan(files: DataFrame, path: Column, min_score: float = MIN_SCORE) -> DataFr
     is_file = F.col("path").isNotNull() & F.col("licence").isNotNull() & F.split_part(base, F.lit("."), F.lit(1)).isin(*FILE_NAMES)
     holder = F.struct((-F.col("score")).alias("order"), "licence", F.col("path").alias("licence_path"))
     given = own.where(is_file).groupBy(_directory(F.col("path")).alias("dir")).agg(F.min(holder).alias("held"))
-    bare = own.where(F.col("licence").isNull() & F.col("path").isNotNull())
-    # The ancestors of a path: itself without its last part, and so on up to the root, which is ''.
-    parts = F.split(_directory(F.col("path")), "/")
-    chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
-    steps = bare.select("path").distinct().select("path", F.inline(F.array_distinct(chain)))
-    nearest = steps.join(given, "dir").groupBy("path").agg(F.max_by("held", "depth").alias("from"))
-    out = own.join(nearest, "path", "left")
-    inherits = F.col("licence").isNull() & F.col("from").isNotNull()
+    # By directory, not by file: its ancestors are itself, itself without its last part, and so on. The root, ancestor of
+    # all, would be the one key of a third and more of the rows, so its single row is no part of the join.
+    at = _directory(F.col("path")).alias("at")
+    bare = own.where(F.col("licence").isNull() & F.col("path").isNotNull()).select(at).distinct()
+    parts = F.split("at", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
+    steps = bare.select("at", F.inline(chain)).where("dir <> ''")
+    nearest = steps.join(given.where("dir <> ''"), "dir").groupBy("at").agg(F.max_by("held", "depth").alias("from"))
+    root = given.where("dir = ''").select("held.*").first()
+    out = own.withColumn("at", at).join(nearest, "at", "left")
+    if root is not None:
+        at_root = F.struct(*(F.lit(value).alias(name) for name, value in root.asDict().items()))
+        out = out.withColumn("from", F.coalesce("from", F.when(F.col("path").isNotNull(), at_root)))
+    inherits = F.col("licence").isNull() & F.col("path").isNotNull() & F.col("from").isNotNull()
     return out.select(
         "doc_id",
         "path",

@@ -35,6 +35,34 @@ def test_a_root_licence_is_inherited_by_all(spark):
     assert {r["licence"] for r in L.scan(df, F.col("path")).collect()} == {"MIT"}
 
 
+def test_inheritance_against_brute_force(spark):
+    """Root, absolute and deep directories, equal scores, repeated rows and NULL paths, each path walked up by itself."""
+    r = random.Random(4)
+    texts = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    names = ["a", "b", "", "c.d"]
+    for trial in range(3):
+        paths = ["/".join([*r.choices(names, k=r.randint(0, 5)), r.choice(["f", "g", "LICENSE", "copying.md"])]) for _ in range(150)]
+        paths = [p for p in paths if trial or "/" in p.lstrip("/")] + [None, *paths[:5]]
+        rows = [(i, p, texts[r.choice(list(texts))] if p and r.random() < 0.2 else "x") for i, p in enumerate(paths)]
+        held: dict[str, list] = {}
+        licence_of = {t: n for n, t in texts.items()}
+        for _, p, t in rows:
+            if p and t != "x" and p.rsplit("/", 1)[-1] in ("LICENSE", "copying.md"):
+                held.setdefault(p.rsplit("/", 1)[0] if "/" in p else "", []).append((licence_of[t], p))
+        want = []
+        for i, p, t in rows:
+            found = (licence_of[t], "own", p) if t != "x" else (None, "none", None)
+            up = p
+            while up and found[0] is None:
+                up = up.rsplit("/", 1)[0] if "/" in up else ""
+                if up in held:
+                    licence, at = min(held[up])
+                    found = (licence, "inherited", at)
+            want.append((i, *found))
+        df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({c: F.lit(1) for c in ("at", "from")})
+        assert sorted((x["doc_id"], x["licence"], x["scope"], x["licence_path"]) for x in L.scan(df, F.col("path")).collect()) == want
+
+
 def test_notices_amid_the_words_of_a_line():
     t = L.Templates()
     notices = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "SPDX-License-Identifier: ISC": "ISC"}
