@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lumenlex.shared import cut
 
 MIN_SCORE, LINES_AFTER = 0.55, 8
+#: Bytes of a table that may be broadcast, and rows of a directory in one task.
+BROADCAST_BYTES, KEY_ROWS = 1 << 25, 100_000
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|\Z)")
 #: Words of templates that a window is laid around, and the words of the shortest template that has windows.
 ANCHORS, SHORTEST = frozenset("license licensed spdx permission redistribute redistribution domain gnu creative".split()), 4
@@ -269,9 +271,10 @@ def scan(files: DataFrame, path: Column, min_score: float = MIN_SCORE) -> DataFr
     parts = F.split("at", "/")
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
     steps = bare.select("at", F.inline(chain)).where("dir <> ''")
-    nearest = steps.join(given.where("dir <> ''"), "dir").groupBy("at").agg(F.max_by("held", "depth").alias("from"))
+    below = cut(given.where("dir <> ''"))
+    nearest = cut(_looked_up(steps, below, "dir", "inner").groupBy("at").agg(F.max_by("held", "depth").alias("from")))
     root = given.where("dir = ''").select("held.*").first()
-    out = own.withColumn("at", at).join(nearest, "at", "left")
+    out = _looked_up(own.withColumn("at", at), nearest, "at", "left")
     if root is not None:
         at_root = F.struct(*(F.lit(value).alias(name) for name, value in root.asDict().items()))
         out = out.withColumn("from", F.coalesce("from", F.when(F.col("path").isNotNull(), at_root)))
@@ -286,6 +289,23 @@ def scan(files: DataFrame, path: Column, min_score: float = MIN_SCORE) -> DataFr
     )
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with table, which holds one row for each key; a third of rows may have the same key.
+
+    A table of at most BROADCAST_BYTES, measured, is broadcast. A larger one meets rows in a shuffle, where keys of more
+    than KEY_ROWS rows are salted; the list of such keys has one row for every KEY_ROWS rows at most.
+    """
+    size = table.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))) + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KEY_ROWS)
+    hot = cut(counts.select(key, F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), copies).cast("int"))
+    spread = table.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.drop("copies").join(spread.drop("copies"), [key, "salt"], how).drop("salt")
+
+
 def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlex.llm import licences as L
@@ -35,12 +36,16 @@ def test_a_root_licence_is_inherited_by_all(spark):
     assert {r["licence"] for r in L.scan(df, F.col("path")).collect()} == {"MIT"}
 
 
-def test_inheritance_against_brute_force(spark):
+@pytest.mark.parametrize("most", [None, -1])
+def test_inheritance_against_brute_force(spark, monkeypatch, most):
     """Root, absolute and deep directories, equal scores, repeated rows and NULL paths, each path walked up by itself."""
+    if most is not None:  # as with tables too large to broadcast, and hot directories
+        monkeypatch.setattr(L, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(L, "KEY_ROWS", 3)
     r = random.Random(4)
     texts = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     names = ["a", "b", "", "c.d"]
-    for trial in range(3):
+    for trial in range(2):
         paths = ["/".join([*r.choices(names, k=r.randint(0, 5)), r.choice(["f", "g", "LICENSE", "copying.md"])]) for _ in range(150)]
         paths = [p for p in paths if trial or "/" in p.lstrip("/")] + [None, *paths[:5]]
         rows = [(i, p, texts[r.choice(list(texts))] if p and r.random() < 0.2 else "x") for i, p in enumerate(paths)]
