@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.shared import Tables
+from lumenlex.shared import Tables, giving_back
 
 SAMPLE_DOCS, LONGEST, SMOOTHING = 8_000, 5, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN, MIN_SCORE = "und", 0.5
-CACHED_WORDS, TEXTS = 200_000, 64
+CACHED_WORDS, TEXTS = 50_000, 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,7 +58,7 @@ def counted(sample: DataFrame) -> DataFrame:
             columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
-    return sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(giving_back(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def entries(words: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def entries(words: DataFrame) -> DataFrame:
             columns = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(kind, pa.int32()), pa.array(lang, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["key", "kind", "lang", "n"])
 
-    made = words.mapInArrow(run, "key long, kind int, lang string, n long")
+    made = words.mapInArrow(giving_back(run), "key long, kind int, lang string, n long")
     return made.groupBy("key", "kind", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -207,7 +207,7 @@ def predictor(spark: SparkSession, model: Model):
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score"])
 
-    return F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(giving_back(run), "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER)
 
 
 def tagged(docs: DataFrame, model: Model) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm.components import components
-from lumenlex.shared import Tables
+from lumenlex.shared import Tables, giving_back
 
 WORDS, SIMILARITY, BANDS, ROWS, BIN_BITS, SKETCH_BITS, SEED = 5, 0.8, 32, 5, 12, 2048, 7
 #: Nodes of a block of those outside a bucket's largest component, and of a block of all its members.
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, bits: int, se
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     numbers = "doc_id long, n_shingles long, set_a long, set_b long"
-    return docs.mapInArrow(run, f"{numbers}, bands array<long>, sketch array<long>, folded int")
+    return docs.mapInArrow(giving_back(run), f"{numbers}, bands array<long>, sketch array<long>, folded int")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -160,7 +160,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 columns = [b.column("doc_id").slice(i, 256), pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "set_a", "set"])
 
-    return docs.mapInArrow(run, "node long, set_a long, set array<long>")
+    return docs.mapInArrow(giving_back(run), "node long, set_a long, set array<long>")
 
 
 def among(rows: DataFrame, column: str, ids: DataFrame, how: str, most: int | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def buckets(nodes: DataFrame, tables: Tables) -> DataFrame:
             yield closed(np.full(len(nodes), open_band), nodes, np.zeros(1, np.int64), np.array([True]))
 
     ranged = rows.repartitionByRange(n, "band", "node").sortWithinPartitions("band", "node")
-    runs = tables.write(ranged.mapInArrow(run, "band long, node long, least long, n long, edge boolean"), "runs")
+    runs = tables.write(ranged.mapInArrow(giving_back(run), "band long, node long, least long, n long, edge boolean"), "runs")
     # At most two bands for each range: its size is that of the number of partitions, whatever the input.
     ends = runs.where("edge").groupBy("band").agg(F.min("least").alias("least_"), F.count(F.lit(1)).alias("n_"))
     whole = runs.join(F.broadcast(ends), "band", "left")

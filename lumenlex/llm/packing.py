@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm import tokens
+from lumenlex.shared import giving_back
 
 WINDOW, END_ID = 1024, 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
@@ -71,7 +72,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, files: tup
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

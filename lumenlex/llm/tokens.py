@@ -34,7 +34,7 @@ def default_files() -> tuple[str, str]:
 class Bpe:
     """encode(text) gives the ids as packed little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, json_path: str, ranks_path: str, cached_words: int = 400_000):
+    def __init__(self, json_path: str, ranks_path: str, cached_words: int = 100_000):
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +41,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process to the system; Arrow's pool and malloc would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # malloc_trim is glibc's alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back[T](run: Callable[[Iterator], Iterator[T]]) -> Callable[[Iterator], Iterator[T]]:
+    """run, a pass over batches, that gives back at its end what it has freed: a worker stays while later stages run in the JVM."""
+
+    @functools.wraps(run)
+    def passed(batches: Iterator) -> Iterator[T]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return passed
+
+
 class Tables:
     """Tables of one job in the shared folder, each written once, and deleted when the job says so."""
 

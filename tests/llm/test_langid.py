@@ -1,5 +1,6 @@
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -111,3 +112,16 @@ def test_nothing_of_the_sample_is_dropped(docs_of):
     many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
     model = L.learn(docs_of([(one, many, "xx"), (two, "solo", "yy")]))
     assert (model.kind == 0).sum() == 600 + 1
+
+
+def test_held_words_are_bounded(docs_of):
+    """A worker keeps what each word adds while later stages run; what it forgets it finds again."""
+    model, r = L.learn(docs_of(corpus())), random.Random(4)
+    every = [x for xs in SYLLABLES.values() for x in xs]
+    texts = [" ".join("".join(r.choices(every, k=6)) for _ in range(500)) for _ in range(360)]
+    found = [x for i in range(0, len(texts), 8) for x in model.predict(texts[i : i + 8])]
+    assert sys.getsizeof(model.row) + sum(map(sys.getsizeof, model.row)) + model.vectors.nbytes < 14e6
+    for i in (0, 100, 359):
+        model.forget()
+        (lang, score), = model.predict([texts[i]])
+        assert lang == found[i][0] and math.isclose(score, found[i][1], rel_tol=1e-9)

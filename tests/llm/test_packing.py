@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,17 @@ def test_a_full_cache_changes_nothing(reference):
     assert np.frombuffer(bpe.encode(text), "<u4").tolist() == reference(text)
 
 
+def test_held_words_are_bounded(reference):
+    """A worker keeps its encoder while other stages run; 250,000 words once took 32 MB of it."""
+    bpe, words = tokens.Bpe(*tokens.default_files()), [f"w{i}x" for i in range(250_000)]
+    whole = bpe.encode(" ".join(words))
+    held = sys.getsizeof(bpe.cache) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in bpe.cache.items())
+    assert held < 24e6
+    for some in (words[:300], words[-300:]):  # those in the cache and those that found it full
+        assert np.frombuffer(bpe.encode(" ".join(some)), "<u4").tolist() == reference(" ".join(some))
+    assert whole.endswith(bpe.encode(" " + " ".join(words[-300:])))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 2047, 5000])
 def test_pieces(n):
     found = P.pieces(n)
