@@ -25,7 +25,7 @@ def index_of(spark: SparkSession, sf_dir: str, stem: bool = False) -> ix.Index:
     if key not in _BUILT:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("raw_id"), "text")
         path = scratch(spark, "index")
-        ix.build(docs, stem=stem).save(path)
+        ix.build(docs, stem=stem, path=path)
         _BUILT[key] = path
     return ix.Index.load(spark, _BUILT[key])
 

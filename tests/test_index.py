@@ -149,3 +149,48 @@ def test_weighted_sets_draw_over_the_whole_vocabulary(spark):
     assert len(sets) == 60 and all("hot" in t and 5 <= len(set(t)) == len(t) <= 10 for t in sets)
     few = spark.createDataFrame([("hot", 1_000_000_000), *((f"t{i}", 1) for i in range(5))], "term string, df long")
     assert all(sorted(r["text"].split()) == ["hot", *(f"t{i}" for i in range(5))] for r in querysets.sampled(few, 20, (6, 10), weighted=True).collect())
+
+
+def moved(spark, run):
+    """What run() returns, and the records that stages begun by it wrote to shuffles."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def stages():
+        found = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_a_posting_moves_once(spark):
+    texts = [" ".join(["hot", *(f"w{(i * 7 + j) % 40}" for j in range(30))]) for i in range(900)]
+    i, records = moved(spark, lambda: build(spark, texts))
+    n = i.postings.count()
+    assert n == 31 * 900 and n <= records < 1.5 * n
+
+
+def test_numbers_and_gaps_across_ranges(spark):
+    texts = ["hot" if i % 3 else f"hot w{i}" if i % 2 else "" for i in range(400)]
+    i = build(spark, texts, block_size=8)
+    assert i.parts["edges"].count() > 0
+    rows = sorted((r["no"], r["mapped_id"], r["gap"]) for r in i.postings.where("term = 'hot'").collect())
+    want = [d for d, t in enumerate(texts) if t]
+    assert rows == [(no, d, d - before) for no, (d, before) in enumerate(zip(want, [0, *want]))]
+    blocks = sorted((r["block_no"], r["start_doc"], r["end_doc"], r["n"]) for r in i.blocks.where("term = 'hot'").collect())
+    assert blocks == [(k // 8, want[k], want[k : k + 8][-1], len(want[k : k + 8])) for k in range(0, len(want), 8)]
+
+
+def test_terms_are_counted_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ix, "SLICE", 7)
+    batch = pa.RecordBatch.from_pydict({"mapped_id": [3, 4, 9], "len": [3, 2, 1], "terms": ["b a b", "a cc", "dddddddddddd"]})
+    got = sorted(tuple(r.values()) for b in ix._counted(iter([batch])) for r in b.to_pylist())
+    assert got == [("a", 3, 1, 3), ("a", 4, 1, 2), ("b", 3, 2, 3), ("cc", 4, 1, 2), ("dddddddddddd", 9, 1, 1)]
+    stems = pa.RecordBatch.from_pydict({"raw_id": [1, 2, 3], "terms": ["running dogs", "", "runs"]})
+    out = [t for b in ix._stems(iter([stems])) for t in b.column("terms").to_pylist()]
+    assert out == ["run dog", "", "run"]
