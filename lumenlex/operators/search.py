@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenlex.functions import bm25
+from lumenlex.operators import scoring
 from lumenlex.operators.index import Index
 from lumenlex.shared import cut
 
-#: Query terms of a batch up to this many are sent to every task; more are shuffled.
+#: Query terms of a batch up to this many are sent to every task, which scores whole documents; more are shuffled.
 SMALL_BATCH, DIGITS, SLACK = 200_000, 6, 2e-6
+#: Pairs of a query and a chunk that are sent to every task at most.
+SMALL_PAIRS = 1_000_000
 #: Ids of a chunk at least, chunks at most, chunks that give the first bound, blocks of a term that bounds itself.
 WIDTH, CHUNKS, SEEDS, FEW_BLOCKS = 4_096, 65_536, 4, 8
 
@@ -68,9 +71,7 @@ def _cells(index: Index, known: DataFrame, width: int, stats) -> DataFrame:
 
     Terms of few postings give their own chunks and exact bounds, the others those of the blocks that touch a chunk.
     """
-    wanted = known.select("term").distinct().join(index.terms.select("term", "df", "idf"), "term")
-    if wanted.count() <= SMALL_BATCH:
-        wanted = F.broadcast(wanted)
+    wanted = _small(known.select("term", "df", "idf").distinct())
     few = F.col("df") <= FEW_BLOCKS * stats["block_size"]
     part = _part(F.col("tf"), F.col("len"), stats) * F.col("idf")
     rare = index.postings.join(wanted.where(few), "term").select("term", _chunk("mapped_id", width).alias("chunk"), part.alias("ub"))
@@ -79,12 +80,17 @@ def _cells(index: Index, known: DataFrame, width: int, stats) -> DataFrame:
     return rare.unionByName(common).groupBy("term", "chunk").agg(F.greatest(F.max("ub"), F.lit(0.0)).alias("ub"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than SMALL_BATCH rows."""
+    return F.broadcast(df) if df.count() <= SMALL_BATCH else df
+
+
 def _chunk(column: str, width: int) -> Column:
     return F.floor(F.col(column) / width)
 
 
-def _kept(index: Index, known: DataFrame, most: int, stats) -> tuple[DataFrame, int]:
-    """qid, term, weight, chunk of those chunks of each query whose bound reaches its ``most``-th score in its best chunks.
+def _kept(index: Index, known: DataFrame, rows: list | None, most: int, stats) -> tuple[DataFrame, int]:
+    """qid, chunk of those chunks of each query whose bound reaches its ``most``-th score in its best chunks; their width.
 
     The axis of documents is cut into chunks of at least WIDTH ids, at most CHUNKS of them. A query that finds fewer
     documents in its SEEDS best chunks has no bound yet, and keeps all its chunks.
@@ -93,12 +99,31 @@ def _kept(index: Index, known: DataFrame, most: int, stats) -> tuple[DataFrame,
     cells = _cells(index, known, width, stats)
     sums = cut(known.join(cells, "term").groupBy("qid", "chunk").agg(F.sum(F.col("ub") * F.col("repeats")).alias("ub")))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ub"), "chunk"))
-    seeds = sums.withColumn("at", best).where(F.col("at") <= SEEDS).select("qid", "chunk")
-    scored = _batch_scores(index, known.join(seeds, "qid"), stats, width)
+    seeds = cut(sums.withColumn("at", best).where(F.col("at") <= SEEDS).select("qid", "chunk"))
+    scored = _scored(index, known, rows, most, stats, seeds, width)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "mapped_id"))
-    bound = scored.withColumn("rank", rank).where(F.col("rank") == most).select("qid", F.col("score").alias("bound"))
+    bound = scored.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") == most).select("qid", F.col("score").alias("bound"))
     reach = sums.join(bound, "qid", "left").where(F.col("bound").isNull() | (F.col("ub") >= F.col("bound") - SLACK))
-    return known.join(reach.select("qid", "chunk"), "qid"), width
+    return cut(reach.select("qid", "chunk")), width
+
+
+def _scored(index: Index, known: DataFrame, rows: list | None, most: int, stats, chunks: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    """qid, mapped_id, score: every query's ``most`` best and maybe more; with chunks(qid, chunk), only of documents there.
+
+    rows: those of known, if they are few enough to be sent to every task.
+    """
+    pairs = None
+    if rows is not None and chunks is not None:
+        pairs = chunks.limit(SMALL_PAIRS + 1).collect()
+    n_chunks = stats["n_docs"] // (width or 1) + 1
+    if not rows or pairs is not None and (len(pairs) > SMALL_PAIRS or len({r["qid"] for r in rows}) * n_chunks > 64 * SMALL_PAIRS):
+        weighed = known.select("qid", "term", "weight")
+        return _batch_scores(index, weighed if chunks is None else weighed.join(chunks, "qid"), stats, width)
+    texts = index.texts
+    if pairs is not None:
+        there = texts.sparkSession.createDataFrame([(c,) for c in sorted({c for _, c in pairs})], "chunk long")
+        texts = texts.join(F.broadcast(there), _chunk("mapped_id", width) == F.col("chunk"), "left_semi")
+    return scoring.best(texts, scoring.batch(rows, pairs, width or 1, n_chunks), known.schema["qid"], most, stats, DIGITS)
 
 
 def _batch_scores(index: Index, asked: DataFrame, stats, width: int | None = None) -> DataFrame:
@@ -119,14 +144,14 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, exhaustive: bool
     own = "k" in queries.columns
     most = queries.agg(F.max("k")).first()[0] or 0 if own else k
     asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("repeats"))
-    known = asked.join(index.terms.select("term", "idf"), "term")
-    known = known.select("qid", "term", (F.col("idf") * F.col("repeats")).alias("weight"), "repeats")
-    if exhaustive or not most:
-        plain = known.drop("repeats")
-        scores = _batch_scores(index, F.broadcast(plain) if plain.count() <= SMALL_BATCH else plain, stats)
+    known = _small(asked).join(index.terms.select("term", "idf", "df"), "term")
+    known = cut(known.select("qid", "term", (F.col("idf") * F.col("repeats")).alias("weight"), "repeats", "idf", "df"))
+    rows = known.select("qid", "term", "weight").limit(SMALL_BATCH + 1).collect()
+    rows = rows if len(rows) <= SMALL_BATCH else None
+    if exhaustive or most < 1:
+        scores = _scored(index, known, rows, most, stats)
     else:
-        kept, width = _kept(index, cut(known), most, stats)
-        scores = _batch_scores(index, kept.drop("repeats"), stats, width)
+        scores = _scored(index, known, rows, most, stats, *_kept(index, known, rows, most, stats))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "mapped_id"))
     ranked = scores.withColumn("rank", rank).where(F.col("rank") <= most)  # a literal bound lets Spark cut each group early
     if own:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlex.operators import evaluate, querysets, search
+from lumenlex.operators import evaluate, querysets, scoring, search
 from lumenlex.operators import index as ix
 from lumenlex.operators.dense import dense_ids
 
@@ -194,3 +194,57 @@ def test_terms_are_counted_in_slices(spark, monkeypatch):
     stems = pa.RecordBatch.from_pydict({"raw_id": [1, 2, 3], "terms": ["running dogs", "", "runs"]})
     out = [t for b in ix._stems(iter([stems])) for t in b.column("terms").to_pylist()]
     assert out == ["run dog", "", "run"]
+
+
+def wordy(n, seed=5):
+    r = random.Random(seed)
+    words = [f"w{j}" for j in range(25)]
+    return [" ".join(r.choices(words, weights=range(1, 26), k=r.choice([0, 2, 9, 30]))) for _ in range(n)]
+
+
+def test_a_batch_moves_only_the_best(spark):
+    i = build(spark, wordy(2000))
+    queries = spark.createDataFrame([(q, [f"w{(q + j) % 25}" for j in range(8)]) for q in range(12)], "qid int, terms array<string>")
+    for exhaustive in (True, False):
+        rows, records = moved(spark, lambda exhaustive=exhaustive: search.search_batch(i, queries, 3, exhaustive).collect())
+        assert len(rows) == 36 and records < 2000  # of some 18,000 pairs of a query and a document
+
+
+def test_large_batches_are_shuffled_with_the_same_results(spark, monkeypatch):
+    i = build(spark, wordy(300), block_size=4)
+    queries = spark.createDataFrame([(None if q == 3 else f"q{q}", [f"w{q}", f"w{q + 2}", f"w{q}"], q % 4) for q in range(9)], "qid string, terms array<string>, k int")
+    monkeypatch.setattr(search, "WIDTH", 16)
+    monkeypatch.setattr(search, "FEW_BLOCKS", 2)
+    found = []
+    for batch, pairs in ((200_000, 1_000_000), (0, 1_000_000), (200_000, 0)):
+        monkeypatch.setattr(search, "SMALL_BATCH", batch)
+        monkeypatch.setattr(search, "SMALL_PAIRS", pairs)
+        found += [sorted(map(str, search.search_batch(i, q, 6, exhaustive).collect())) for q in (queries, queries.drop("k").where("qid IS NOT NULL")) for exhaustive in (True, False)]
+    for k, rows in enumerate(found):
+        assert rows and rows == found[k % 4 // 2 * 2]
+
+
+def test_scores_in_small_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = [(7 * d, t.split()) for d, t in enumerate(wordy(200, 9)) if t]
+    asked = [{"qid": q, "term": f"w{j}", "weight": 1.0 + j} for q in range(6) for j in range(q, 25, 3)]
+    of = {"avgdl": 12.5, "k1": 1.2, "b": 0.75}
+    want = defaultdict(list)
+    for doc, terms in texts:
+        for q in range(6):
+            mine = {a["term"]: a["weight"] for a in asked if a["qid"] == q}
+            hit = [w * 2.2 * terms.count(t) / (1.2 * (0.25 + 0.75 * len(terms) / 12.5) + terms.count(t)) for t, w in mine.items() if t in terms]
+            if hit:
+                want[q].append((-round(sum(hit), 6), doc))
+    batches = [pa.RecordBatch.from_pydict({"mapped_id": [d for d, _ in part], "len": [len(t) for _, t in part], "terms": [" ".join(t) for _, t in part]}) for part in (texts[:50], texts[50:51], texts[51:])]
+    for pairs, kept, size in ((2_000_000, 4_000_000, 8 << 20), (3, 10, 100), (50, 0, 8 << 20)):
+        monkeypatch.setattr(scoring, "PAIRS", pairs)
+        monkeypatch.setattr(scoring, "KEPT", kept)
+        monkeypatch.setattr(ix, "SLICE", size)
+        got = defaultdict(list)
+        for q, score, doc in scoring._best(iter(batches), scoring.batch(asked), 4, of, 6):
+            for a, b, c in zip(q.tolist(), score.tolist(), doc.tolist()):
+                got[scoring.batch(asked).qids[a]].append((-b, c))
+        for q in range(6):
+            assert [(pytest.approx(s, abs=2e-6), d) for s, d in sorted(want[q])[:4]] == sorted(got[q])[:4]
