@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenlex.functions import bm25, text
 from lumenlex.functions.porter2 import stemmed
 from lumenlex.operators import evaluate, querysets, search
 from lumenlex.operators import index as ix
-from lumenlex.operators.dense import dense_ids
 from lumenlex.shared import scratch
 
 TERMS = ("antion", "retion", "aning", "reing")
@@ -163,10 +161,8 @@ def block_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gap to the document before, within each block; the first of a block is absolute."""
-    numbered = dense_ids(index_of(spark, sf_dir).postings.select("term", "mapped_id"), F.col("mapped_id"), within=("term",), name="no")
-    block = numbered.withColumn("block_no", F.floor(F.col("no") / ix.BLOCK_SIZE))
-    order = Window.partitionBy("term", "block_no").orderBy("mapped_id")
-    return block.select("term", "mapped_id", (F.col("mapped_id") - F.lag("mapped_id", 1, 0).over(order)).alias("delta"))
+    delta = F.when(F.col("no") % ix.BLOCK_SIZE == 0, F.col("mapped_id")).otherwise(F.col("gap"))
+    return index_of(spark, sf_dir).postings.select("term", "mapped_id", delta.alias("delta"))
 
 
 def df_band_top(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,3 +248,11 @@ def test_scores_in_small_pieces(monkeypatch):
                 got[scoring.batch(asked).qids[a]].append((-b, c))
         for q in range(6):
             assert [(pytest.approx(s, abs=2e-6), d) for s, d in sorted(want[q])[:4]] == sorted(got[q])[:4]
+
+
+def test_deltas_move_nothing(spark):
+    from lumenlex.plans import retrieval
+
+    retrieval.index_of(spark, "/root/testdata/sf0.001")
+    rows, records = moved(spark, lambda: retrieval.posting_deltas(spark, "/root/testdata/sf0.001").collect())
+    assert rows and not records
