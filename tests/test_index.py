@@ -250,6 +250,13 @@ def test_scores_in_small_pieces(monkeypatch):
             assert [(pytest.approx(s, abs=2e-6), d) for s, d in sorted(want[q])[:4]] == sorted(got[q])[:4]
 
 
+def test_a_stemmed_posting_moves_once(spark):
+    texts = [" ".join(["running", *(f"w{(i * 7 + j) % 40}s" for j in range(30))]) for i in range(900)]
+    i, records = moved(spark, lambda: build(spark, texts, stem=True))
+    assert {r["term"] for r in i.terms.collect()} == {"run", *(ix._stem(f"w{j}s") for j in range(40))}
+    assert records < 1.5 * i.postings.count()
+
+
 def test_deltas_move_nothing(spark):
     from lumenlex.plans import retrieval
 
