@@ -257,6 +257,13 @@ def test_a_stemmed_posting_moves_once(spark):
     assert records < 1.5 * i.postings.count()
 
 
+def test_a_block_moves_twice_at_most(spark):
+    texts = [f"own{i} pad{i}" for i in range(600)]
+    i, records = moved(spark, lambda: build(spark, texts))
+    blocks = i.blocks.count()
+    assert blocks == 1200 and records < 600 + i.postings.count() + 2.5 * blocks
+
+
 def test_deltas_move_nothing(spark):
     from lumenlex.plans import retrieval
 
